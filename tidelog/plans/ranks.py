@@ -10,23 +10,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[Column], blocks: int, block: Column, name: str) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], blocks: int, block: Column, name: str, weight: str | None = None) -> DataFrame:
     """Add ``name``: 0, 1, 2 ... within ``keys``, by block (``block`` modulo ``blocks``), then ``order``.
 
-    A key that holds a third of all rows is spread over all its blocks. ``order`` must be total within a
-    block for the rank to be the same in each run.
+    With ``weight``, the sum of that column over the rows before instead. A key that holds a third of all rows
+    is spread over all its blocks. ``order`` must be total within a block for the result to be the same in each run.
     """
     b, n, base = f"__{name}_block", f"__{name}_n", f"__{name}_base"
     dealt = df.withColumn(b, F.pmod(block, F.lit(blocks)).cast("int"))
-    counts = dealt.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(n))
+    amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = dealt.groupBy(*keys, b).agg(amount.alias(n))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*keys, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, b]]
     own = Window.partitionBy(*keys, b).orderBy(*order)
-    ranked = dealt.withColumn(name, F.row_number().over(own).cast("long") - 1)
+    within = F.row_number().over(own).cast("long") - 1 if weight is None else F.coalesce(F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = dealt.withColumn(name, within)
     joined = ranked.alias("l").join(bases.alias("r"), on, "left")
     kept = [F.col(f"l.{c}") for c in df.columns]
-    return joined.select(*kept, (F.col(f"l.{name}") + F.coalesce(F.col(f"r.{base}"), F.lit(0))).alias(name))
+    return joined.select(*kept, (F.col(f"l.{name}") + F.coalesce(F.col(f"r.{base}"), F.lit(0))).cast("long").alias(name))
+
+
+def blocks_for(rows: int, per_block: int = 20_000, least: int = 256) -> int:
+    """Blocks to deal rows into: their number depends on the rows alone, so reruns agree."""
+    return max(least, -(-rows // per_block))
 
 
 def global_rank(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
