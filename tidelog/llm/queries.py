@@ -10,12 +10,34 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidelog.llm.packing import pack
+
+    packed = pack(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.placement(ids_crc32=F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.mixing import mix
 
     return mix(_docs(spark, sf_dir)).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.minhash import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.sharding import shard_documents
+
+    out = shard_documents(_docs(spark, sf_dir))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.quality import apply_policy, ledger
 
@@ -23,5 +45,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("__base")).alias("base_failed"), "kept", "failures")
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op7_minhash, op8_sharding, op9_quality_rules)}
 SQL: dict[str, str] = {}
