@@ -1,8 +1,8 @@
 """Toxicity: an automaton of misspelled lexicon terms, and the windows around what it finds.
 
-Terms are learned: words that occur in many different contexts of toxic training texts and in hardly any of others (contexts, not
-documents, so that copies of one text count once). Their trie is intersected with Levenshtein automata (1 edit from
-5 letters, 2 from 9) into one deterministic automaton, whose states are sets of (trie node, edits) and are built
+Terms are learned: words, and stems of words (``abcd*``: any ending), that occur in many different contexts of toxic training
+texts and in hardly any of others (contexts, not documents, so that copies of one text count once). Their trie is intersected with Levenshtein automata (words: 1 edit from
+5 letters, 2 from 9; stems: none) into one deterministic automaton, whose states are sets of (trie node, edits) and are built
 when first reached. Words near a hit are weighed too (learned from windows around hits in toxic and other texts), as is
 whether the hit stands in quotation marks; a logistic regression turns these into a score.
 
@@ -27,9 +27,11 @@ from tidelog.llm.words import Hasher, Words, chunks
 from tidelog.plans.scratch import keep
 
 #: Labelled documents to learn from, terms and context words to keep, distinct contexts that a term needs.
-MAX_TRAIN, MAX_TERMS, MAX_CONTEXT, MIN_CONTEXTS = 20_000, 500, 500, 12
-#: Times likelier in toxic texts than in others.
-LEAST_LIFT = 12.0
+MAX_TRAIN, MAX_TERMS, MAX_CONTEXT, MIN_CONTEXTS = 20_000, 500, 500, 5
+#: Times likelier in toxic texts than in others, and standard deviations above what chance gives.
+LEAST_LIFT, LEAST_Z = 6.0, 8.0
+#: Letters of a stem.
+STEM = (4, 8)
 REACH = 4
 THRESHOLD = 0.7
 
@@ -45,7 +47,7 @@ def plain(word: str) -> str:
 
 
 def allowed_edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 5 or term.endswith("*") else 1 if len(term) < 9 else 2
 
 
 class FuzzyLexicon:
@@ -61,7 +63,7 @@ class FuzzyLexicon:
         for i, term in enumerate(terms):
             node, edits = 0, allowed_edits(term)
             self.most[0] = max(self.most[0], edits)
-            for c in term:
+            for c in term.removesuffix("*"):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
@@ -77,6 +79,7 @@ class FuzzyLexicon:
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
+        self.final: list[bool] = []  # a stem is complete: any ending will do
         self.number({(0, 0)})
 
     def number(self, states: set[tuple[int, int]]) -> int:
@@ -97,7 +100,9 @@ class FuzzyLexicon:
             self.sets.append(key)
             self.steps.append({})
             hits = [(edits, self.ends[node]) for node, edits in key if self.ends[node] >= 0 and edits <= allowed_edits(self.terms[self.ends[node]])]
-            self.accepts.append(min(hits) if hits else None)
+            stems = [h for h in hits if self.terms[h[1]].endswith("*")]
+            self.accepts.append(min(stems or hits) if hits else None)
+            self.final.append(bool(stems))
         return self.numbers[key]
 
     def step(self, state: int, c: str) -> int:
@@ -117,6 +122,8 @@ class FuzzyLexicon:
             state = self.step(state, c) if to is None else to
             if state < 0:
                 return None
+            if self.final[state]:
+                break
         return self.accepts[state]
 
 
@@ -189,12 +196,11 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """toxic, text to word, context (a hash of its neighbours), toxic."""
+    """toxic, text to word, context (its neighbours), toxic."""
     for batch in batches:
         words, around, labels = [], [], []
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            own = [plain(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
-            own = ["", *own, ""]
+            own = ["", *(plain(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")), ""]
             rows = {(own[i], own[i - 1] + " " + own[i + 1]) for i in range(1, len(own) - 1) if 3 <= len(own[i]) <= 40}
             words += [r[0] for r in rows]
             around += [r[1] for r in rows]
@@ -202,13 +208,37 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(around, pa.string()), pa.array(labels, pa.int32())], names=["word", "around", "toxic"])
 
 
-def _log_odds(counts: DataFrame, least: int) -> DataFrame:
-    """word, toxic, n to word, t, odds; smoothed, on the whole table."""
+def chosen_terms(rows: list, most: int = MAX_TERMS) -> list[tuple[str, float]]:
+    """Words and stems (term, contexts t, odds), the strongest first, without those that a chosen stem covers. A stem
+    that is little more than one word gives way to the word."""
+    count = {r["word"]: r["t"] for r in rows}
+    out: list[tuple[str, float]] = []
+    stems: set[str] = set()
+    for r in sorted(rows, key=lambda r: (-r["t"] * r["odds"], len(r["word"]), r["word"])):
+        term, body = r["word"], r["word"].removesuffix("*")
+        if len(out) == most or any(body[:k] in stems for k in range(STEM[0], len(body) + 1)):
+            continue
+        if term.endswith("*"):
+            if any(1.3 * t >= r["t"] and not w.endswith("*") and w.startswith(body) for w, t in count.items()):
+                continue
+            stems.add(body)
+        out.append((term, float(min(r["odds"], 6.0))))
+    return out
+
+
+def _log_odds(counts: DataFrame, least: int, stems: bool = False) -> DataFrame:
+    """word, toxic, n to word, t, odds (smoothed, on the whole table), z; with stems, also for the beginnings of words."""
     wide = counts.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"))
     wide = keep(wide, "odds")
     t, o = wide.agg(F.sum("t"), F.sum("o")).first()
     odds = F.log((F.col("t") + 0.5) / F.lit(float((t or 0) + 1))) - F.log((F.col("o") + 0.5) / F.lit(float((o or 0) + 1)))
-    return wide.where(F.col("t") + F.col("o") >= least).withColumn("odds", odds)
+    if stems:
+        lo, hi = STEM
+        own = F.explode(F.expr(f"transform(sequence({lo}, least({hi}, length(word))), k -> concat(left(word, k), '*'))"))
+        begun = wide.where((F.length("word") >= lo) & ~F.contains("word", F.lit("*"))).select(own.alias("word"), "t", "o").groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+        wide = wide.where(~F.endswith("word", F.lit("*"))).unionByName(begun)
+    chance = (F.col("t") + F.col("o")) * F.lit(float(t or 0) / max(1.0, float((t or 0) + (o or 0))))
+    return wide.where(F.col("t") + F.col("o") >= least).withColumn("odds", odds).withColumn("z", (F.col("t") - chance) / F.sqrt(F.greatest(chance, F.lit(1e-9))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
@@ -222,8 +252,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
 def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     train = keep(training_rows(docs, labels, most), "train")
     counts = train.mapInArrow(contexts, "word string, around string, toxic int").distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
-    terms = _log_odds(counts, MIN_CONTEXTS).where((F.col("odds") >= math.log(LEAST_LIFT)) & (F.col("t") >= MIN_CONTEXTS)).orderBy(F.desc("odds"), "word").limit(MAX_TERMS).collect()
-    model = Model([r["word"] for r in terms], [float(min(r["odds"], 6.0)) for r in terms])
+    found = _log_odds(counts, MIN_CONTEXTS, stems=True).where((F.col("odds") >= math.log(LEAST_LIFT)) & (F.col("z") >= LEAST_Z) & (F.col("t") >= MIN_CONTEXTS))
+    terms = chosen_terms(found.orderBy(F.desc(F.col("t") * F.col("odds")), "word").limit(8 * MAX_TERMS).collect())
+    model = Model([t for t, _ in terms], [w for _, w in terms])
     if not terms:
         return model
 
