@@ -144,9 +144,10 @@ JSON_SCHEMA = "event_id string, stream_id string, aggregate_id string, version l
 
 def from_json(spark: SparkSession, path: str) -> tuple[EventLog, DataFrame]:
     """A log of JSON lines, and the lines that could not be read; these are shown, not hidden."""
-    raw = spark.read.schema(JSON_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    good = raw.where(F.col("_corrupt_record").isNull()).withColumnRenamed("data", "payload")
-    bad = raw.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record", F.col("_metadata.file_path").alias("file_path"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+    raw = lines.withColumn("r", F.from_json("value", JSON_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    good = raw.where("r._corrupt_record is null and r.event_type is not null").select("r.*").withColumnRenamed("data", "payload")
+    bad = raw.where("r._corrupt_record is not null or r.event_type is null").select(F.col("value").alias("line"), "file_path")
     return EventLog(envelope_defaults(good).select(*ENVELOPE.fieldNames())), bad
 
 
