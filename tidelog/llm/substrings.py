@@ -153,7 +153,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: str = "n_words", n_removed: str = "n_removed", window: int = WINDOW) -> DataFrame:
-    """docs with texts rewritten, and the two counts."""
+    """docs with texts rewritten, and the two counts, which replace columns of their names."""
+    docs = docs.drop(n_words, n_removed)
     spans = repeated_spans(docs, doc_id, text, window).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("spans").alias("__spans"))
     columns = tuple(docs.columns)
     joined = docs.join(spans, (F.col(doc_id) == F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__fp")), "left").select(*columns, "__spans")
