@@ -27,7 +27,7 @@ def test_automaton_equals_edit_distance(terms, word):
 def test_stems_take_any_ending():
     lexicon = FuzzyLexicon(["vequ*", "idiot", "worthless"])
     assert lexicon.match("vequoir") == (0, 0) and lexicon.match("vequ") == (0, 0) and lexicon.match("veju") is None
-    assert lexicon.match("idiiot") == (1, 1) and lexicon.match("wurthles") == (2, 2) and lexicon.match("idolt")[0] == 1
+    assert lexicon.match("idiiot") == (1, 1) and lexicon.match("wurthles") == (2, 2) and lexicon.match("idiol")[0] == 1
     assert plain("(1d10T!)") == "idiot" and plain("2024") == "2024"
 
 

@@ -210,7 +210,7 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chosen_terms(rows: list, most: int = MAX_TERMS) -> list[tuple[str, float]]:
     """Words and stems (term, contexts t, odds), the strongest first, without those that a chosen stem covers. A stem
-    that is little more than one word gives way to the word."""
+    is made as long as it can be without losing a tenth of its contexts, and gives way to a word that has most of them."""
     count = {r["word"]: r["t"] for r in rows}
     out: list[tuple[str, float]] = []
     stems: set[str] = set()
@@ -219,6 +219,9 @@ def chosen_terms(rows: list, most: int = MAX_TERMS) -> list[tuple[str, float]]:
         if len(out) == most or any(body[:k] in stems for k in range(STEM[0], len(body) + 1)):
             continue
         if term.endswith("*"):
+            while longer := max(((t, w) for w, t in count.items() if w.endswith("*") and len(w) == len(body) + 2 and w.startswith(body) and t >= 0.9 * r["t"]), default=None):
+                body = longer[1].removesuffix("*")
+            term = body + "*"
             if any(1.3 * t >= r["t"] and not w.endswith("*") and w.startswith(body) for w, t in count.items()):
                 continue
             stems.add(body)
