@@ -3,7 +3,8 @@
 Unit vectors are cut in two halves; each half has a codebook (k-means on a bounded sample), and pairs of codewords form a
 product grid of cells. A vector lives in its nearest cell and visits the first T cells in the order of the sum of both squared
 distances (the multi-sequence order: cell (i, j) of the sorted halves cannot come before rank (i+1)(j+1), so the first T lie on
-a staircase of about T ln T candidates). T is the least that reaches ``TARGET_RECALL`` for sampled queries against all rows.
+a staircase of about T ln T candidates). T is twice the least that reaches ``TARGET_RECALL`` on average over sampled queries, each
+against all rows, and at least ``LEAST_CELLS``, as a sample of queries sees few of the small groups.
 A pair is found when either vector visits the cell of the other, is verified by cosine in double precision, and is
 counted in one place only. A cell of any size is compared in blocks; a block returns counts by vector and a spanning forest of its
 links, never pairs.
@@ -30,8 +31,8 @@ from tidelog.llm.components import components
 from tidelog.plans.scratch import keep
 
 COSINE = 0.9
-#: Rows that codebooks are fitted on, queries that T is measured on, cells visited at most.
-SAMPLE_ROWS, SAMPLE_QUERIES, MOST_CELLS = 20_000, 256, 128
+#: Rows that codebooks are fitted on, queries that T is measured on, cells visited at least and at most.
+SAMPLE_ROWS, SAMPLE_QUERIES, LEAST_CELLS, MOST_CELLS = 20_000, 1024, 16, 128
 TARGET_RECALL = 0.995
 CELL_ROWS, MOST_CODEWORDS = 64, 1024
 BLOCK = 1024
@@ -112,27 +113,31 @@ def fit_index(vectors: DataFrame, rows: int, dim: int) -> Index:
     seen = traversal(queries, index, most)
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many links of the queries are found at each rank; rank ``most``: not at all."""
+        """How many links of each query are found at each rank; rank ``most``: not at all."""
+        found = np.zeros(len(queries) * (most + 1), np.int64)
         for batch in batches:
             _, y = unit(batch.column(0), dim)
-            found = np.zeros(most + 1, np.int64)
             for a in range(0, len(y), BLOCK):
                 part = y[a : a + BLOCK]
                 q, r = np.nonzero(queries @ part.T >= COSINE)
                 if len(q):
-                    other = traversal(part, index, most)
+                    rows, r = np.unique(r, return_inverse=True)
+                    other = traversal(part[rows], index, most)
                     one, two = seen[q] == other[r][:, :1], other[r] == seen[q][:, :1]
                     rank = np.minimum(np.where(one.any(1), one.argmax(1), most), np.where(two.any(1), two.argmax(1), most))
-                    found += np.bincount(rank, minlength=most + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(most + 1)), pa.array(found)], names=["rank", "n"])
-
-    counts = np.zeros(most + 1, np.int64)
-    for row in vectors.select("embedding").mapInArrow(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect():
-        counts[row["rank"]] = row["n"]
-    share = np.cumsum(counts[:most]) / max(1, counts.sum())
+                    found += np.bincount(q * (most + 1) + rank, minlength=len(found))
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["at", "n"])
+
+    counts = np.zeros(len(queries) * (most + 1), np.int64)
+    for row in vectors.select("embedding").mapInArrow(ranks, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # queries by ranks at most
+        counts[row["at"]] = row["n"]
+    counts = counts.reshape(len(queries), most + 1)
+    linked = counts[counts.sum(axis=1) > 1]  # each query finds itself
+    share = (np.cumsum(linked[:, :most], axis=1) / linked.sum(axis=1)[:, None]).mean(axis=0) if len(linked) else np.ones(most)
     enough = np.flatnonzero(share >= TARGET_RECALL)
-    index.cells = int(enough[0]) + 1 if len(enough) else most
-    index.recall = float(share[index.cells - 1]) if counts.sum() else 1.0
+    index.cells = max(min(LEAST_CELLS, most), min(most, 2 * (int(enough[0]) + 1) if len(enough) else most))
+    index.recall = float(share[index.cells - 1])
     return index
 
 
@@ -146,26 +151,31 @@ def placed(batches: Iterator[pa.RecordBatch], index: Index, dim: int) -> Iterato
             cells = traversal(x, index, t)
             n, t_own = cells.shape
             at = np.concatenate((np.arange(n), np.repeat(np.arange(n), t_own)))
-            vector, visits = [v.tobytes() for v in x], [c.tobytes() for c in cells]
+            raw = part.column("embedding").take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
+            vector, visits = [v.tobytes() for v in raw], [c.tobytes() for c in cells] + [None] * (n * t_own)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((cells[:, 0], cells.ravel()))),
                     pa.array(np.concatenate((np.ones(n, bool), np.zeros(n * t_own, bool)))),
                     part.column("vec_id").take(pa.array(good[at])),
                     pa.array(cells[at, 0]),
-                    pa.array(visits, pa.binary()).take(pa.array(at)),
+                    pa.array(visits, pa.binary()),
                     pa.array(vector, pa.binary()).take(pa.array(at)),
                 ],
                 names=["cell", "resident", "vec_id", "home", "visits", "vector"],
             )
 
 
-def block_links(pdf: pd.DataFrame, dim: int) -> pd.DataFrame:
+def block_links(pdf: pd.DataFrame, dim: int, kind: str) -> pd.DataFrame:
     """Residents and visitors of one block: u, v null, n links of u; or u, v of a spanning forest, n = 0."""
     r, q = pdf[pdf["resident"]], pdf[~pdf["resident"]]
     if r.empty or q.empty:
         return pd.DataFrame({"u": [], "v": [], "n": []}).astype({"u": "int64", "v": "Int64", "n": "int64"})
-    matrix = lambda rows: np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(-1, dim)
+
+    def matrix(rows: pd.DataFrame) -> np.ndarray:
+        flat = pa.array(np.frombuffer(b"".join(rows["vector"]), kind))
+        return unit(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), flat), dim)[1]
+
     i, j = np.nonzero(matrix(r) @ matrix(q).T >= COSINE)
     rid, qid = r["vec_id"].to_numpy(), q["vec_id"].to_numpy()
     home, other = r["home"].to_numpy(), q["home"].to_numpy()
@@ -194,7 +204,8 @@ def block_links(pdf: pd.DataFrame, dim: int) -> pd.DataFrame:
 
 def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of the table. vec_id is cast to long."""
-    slim = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    kind = "float32" if "float" in table.schema[embedding].dataType.simpleString() else "float64"  # vectors travel as they are
+    slim = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>" if kind == "float32" else "array<double>").alias("embedding"))
     vectors = slim.where("vec_id is not null and embedding is not null")
     shape = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     own = slim.select("vec_id")
@@ -212,7 +223,7 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     rest = ["resident", "vec_id", "home", "visits", "vector"]
     r = dealt.where("resident").select("cell", salt("rb").alias("i"), every("qb").alias("j"), *rest)
     q = dealt.where("not resident").select("cell", every("rb").alias("i"), salt("qb").alias("j"), *rest)
-    found = keep(r.unionByName(q).groupBy("cell", "i", "j").applyInPandas(lambda pdf: block_links(pdf, dim), "u long, v long, n long"), "links")
+    found = keep(r.unionByName(q).groupBy("cell", "i", "j").applyInPandas(lambda pdf: block_links(pdf, dim, kind), "u long, v long, n long"), "links")
     links = found.where("v is null").groupBy(F.col("u").alias("__id")).agg(F.sum("n").alias("n_links"))
     comps = components(found.where("v is not null").select("u", "v"))
     out = own.join(links, F.col("vec_id") == F.col("__id"), "left").join(comps, F.col("vec_id") == F.col("node"), "left")
