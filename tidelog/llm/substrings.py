@@ -147,7 +147,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     looked = owned.where("doc_id = owner").join(several, "value", "left_semi").groupBy("doc_id", "fp").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     texts = looked.join(slim, ["doc_id", "fp"]).select("doc_id", "fp", "text", "spans")
     windows = keep(texts.mapInArrow(lambda batches: window_hashes(batches, window), schema + "at int, a long, b long"), "windows")
-    owners = windows.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").drop("other")
+    # Kept, so that the join deals both sides itself and a window of very many documents can be split.
+    owners = keep(windows.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").drop("other"), "owners")
     single = windows.join(owners, ["a", "b"]).where("doc_id > owner").select("doc_id", "fp", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return whole.unionByName(single).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
