@@ -222,6 +222,8 @@ def chosen_terms(rows: list, most: int = MAX_TERMS) -> list[tuple[str, float]]:
             while longer := max(((t, w) for w, t in count.items() if w.endswith("*") and len(w) == len(body) + 2 and w.startswith(body) and t >= 0.9 * r["t"]), default=None):
                 body = longer[1].removesuffix("*")
             term = body + "*"
+            if body in stems:
+                continue
             if any(1.3 * t >= r["t"] and not w.endswith("*") and w.startswith(body) for w, t in count.items()):
                 continue
             stems.add(body)
