@@ -54,6 +54,7 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
         .where("norm != ''")
         .select("uid", "conv_id", "turn", "level", F.xxhash64("norm").alias("h"))
     )
+    units = keep(units, "units")  # read four times below
     quoted = units.where("level > 0")
     own = units.where("level = 0").join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
     both = quoted.unionByName(own).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS)).withColumn("own_turn", F.when(F.col("level") == 0, F.col("turn")))
