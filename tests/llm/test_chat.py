@@ -85,3 +85,28 @@ def test_nulls_empty_and_repeated_rows(build):
 def test_plan_has_no_python(build):
     plan = conversations(build([(1, 0, "user", "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_sql_has_the_same_rows(spark, build, tmp_path):
+    """The SQL of the query, on conversations with quotes."""
+    import random
+
+    import duckdb
+
+    from tidelog.llm.sql import CHAT
+
+    rng = random.Random(6)
+    rows = []
+    for c in range(6):
+        for t in range(12):
+            lines = [f"line {rng.randrange(9)}" for _ in range(2)]
+            for _ in range(rng.randint(0, 3)):
+                lines.insert(0, rng.choice([">", "> ", "> > "]) + f"Line  {rng.randrange(9)}")
+            rows.append((c, t, "user", "\n".join(lines)))
+    table = build(rows)
+    table.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    out = conversations(table)
+    wanted = con.sql(f"SELECT {', '.join(out.columns)} FROM ({CHAT})").fetchall()
+    assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, wanted))

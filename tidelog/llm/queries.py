@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -84,4 +88,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_mixing, op4_chat_formatting, op5_substring_dedup, op6_embedding_dedup, op7_minhash, op8_sharding, op9_quality_rules, op10_toxicity)}
-SQL: dict[str, str] = {}
