@@ -120,3 +120,41 @@ def test_windows_on_a_stream(spark, tmp_path):
     q = windowed_counts(stream, "1 hour", "0 seconds").writeStream.format("memory").queryName("window_rows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["events"] for r in spark.table("window_rows").collect()) == [8, 12]
+
+
+def test_log_as_a_streaming_source(store, spark, tmp_path):
+    from tidelog.streaming.projections import stateful
+    from tidelog.streaming.source import register
+
+    register(spark)
+    for i in range(3):
+        add(store, f"s{i % 2}", "x", "y")
+    store._write(store.read().events.limit(1))  # not committed: invisible
+    rows = spark.read.format("tidelog").option("path", store.path).load()
+    assert sorted(r["global_version"] for r in rows.collect()) == [1, 2, 3, 4, 5, 6]
+    got = []
+
+    def run():
+        events = spark.readStream.format("tidelog").option("path", store.path).option("commits_per_batch", 2).load()
+        folded = stateful(events, "stream_id", "n long", "n long", (0,), lambda s, e: (s[0] + 1,), lambda s: {"n": int(s[0])})
+        q = folded.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, b: got.extend((r["stream_id"], r["version"], r["n"]) for r in df.collect()))
+        q = q.trigger(processingTime="200 milliseconds").start()
+        try:
+            import time
+
+            for _ in range(240):
+                time.sleep(0.25)
+                if len({g for g in got}) >= want and not q.status["isTriggerActive"]:
+                    break
+        finally:
+            q.stop()
+
+    want = 3
+    run()
+    assert set(got) == {("s0", 2, 2), ("s1", 2, 2), ("s0", 4, 4)}
+    store.compact()
+    add(store, "s1", "z")
+    got.clear()
+    want = 1
+    run()
+    assert set(got) == {("s1", 3, 3)}
