@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.batches import bounded_batches
 from tidelog.llm.components import components
 from tidelog.plans.scratch import keep
 
@@ -204,6 +205,7 @@ def block_links(pdf: pd.DataFrame, dim: int, kind: str) -> pd.DataFrame:
 
 def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of the table. vec_id is cast to long."""
+    bounded_batches(table.sparkSession)
     kind = "float32" if "float" in table.schema[embedding].dataType.simpleString() else "float64"  # vectors travel as they are
     slim = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>" if kind == "float32" else "array<double>").alias("embedding"))
     vectors = slim.where("vec_id is not null and embedding is not null")

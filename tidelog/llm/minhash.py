@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.batches import bounded_batches
 from tidelog.llm.components import components
 from tidelog.llm.words import Hasher, Windows, Words, buffers, chunks, fold_ascii, mix
 from tidelog.plans.scratch import drop, keep
@@ -205,6 +206,7 @@ def class_links(buckets: DataFrame, texts: DataFrame, rounds: int = 3) -> DataFr
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs. doc_id is cast to long."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     prints = keep(slim.mapInArrow(fingerprints, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"), "prints")
     of_set = ["n_shingles", "set1", "set2"]

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.batches import bounded_batches
 from tidelog.plans.ranks import blocks_for, global_rank, rank_within
 from tidelog.plans.scratch import keep
 
@@ -151,6 +152,7 @@ def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
 
     Rows that share an id are told apart by source, size and text.
     """
+    bounded_batches(docs.sparkSession)
     columns = docs.columns
     same = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"), F.length("text"))
     known = docs.withColumn("__k", F.row_number().over(same)).withColumn("__id", F.struct("doc_id", "__k"))

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.batches import bounded_batches
 from tidelog.llm.bpe import WordBpe
 from tidelog.llm.words import Hasher, chunks
 from tidelog.plans.scratch import keep
@@ -175,6 +176,7 @@ class Packing:
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> Packing:
     """tokenizer: path of the vocabulary file, which executors have too."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     made = slim.mapInArrow(lambda batches: encoded(batches, tokenizer, window, end_id), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, task int, nth long")

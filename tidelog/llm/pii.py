@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.batches import bounded_batches
 from tidelog.plans.scratch import drop, keep
 
 KINDS = ("email", "ip", "card", "phone")
@@ -147,6 +148,7 @@ def accepted_patterns(seen: DataFrame, min_seeds: int = MIN_SEEDS, accepted: flo
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits: float) -> DataFrame:
     """doc_id, fp (a hash of the text), base and added spans (arrays of start, kind, end)."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     scan = keep(slim.mapInArrow(scanned, f"doc_id {kind}, fp long, {_SCAN}"), "scan")

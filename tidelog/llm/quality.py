@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tidelog.llm.batches import bounded_batches
 from tidelog.llm.words import Hasher, Windows, Words, chunks, covered, mix, repeated
 
 _SYMBOLS = np.zeros(256, bool)
@@ -110,6 +111,7 @@ def failure_bits(prefix: str = "") -> Column:
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the measures and ``failures``: one row for each row of docs."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     found = slim.mapInArrow(measured, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
@@ -139,6 +141,7 @@ def ablations(book: DataFrame, policy: str | tuple[str, ...]) -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: str | tuple[str, ...] = "v1", text: str = "text") -> DataFrame:
     """The rows of docs that pass the policy, with their own columns; one pass, no shuffle."""
+    bounded_batches(docs.sparkSession)
     carry, prefix = tuple(docs.columns), "__rule_"
     schema = StructType([*docs.schema.fields, *(StructField(prefix + m, LongType()) for m in MEASURES)])
     found = docs.mapInArrow(lambda batches: measured(batches, text, carry, prefix), schema)

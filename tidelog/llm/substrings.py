@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tidelog.llm.batches import bounded_batches
 from tidelog.llm.words import Hasher, Windows, Words, buffers, chunks, covered, ranges
 from tidelog.plans.scratch import drop, keep
 
@@ -155,6 +156,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: str = "n_words", n_removed: str = "n_removed", window: int = WINDOW) -> DataFrame:
     """docs with texts rewritten, and the two counts, which replace columns of their names."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(n_words, n_removed)
     spans = repeated_spans(docs, doc_id, text, window).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("spans").alias("__spans"))
     columns = tuple(docs.columns)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.batches import bounded_batches
 from tidelog.llm.words import Hasher, Words, chunks
 from tidelog.plans.scratch import keep
 
@@ -255,6 +256,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
+    bounded_batches(docs.sparkSession)
     train = keep(training_rows(docs, labels, most), "train")
     counts = train.mapInArrow(contexts, "word string, around string, toxic int").distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
     found = _log_odds(counts, MIN_CONTEXTS, stems=True).where((F.col("odds") >= math.log(LEAST_LIFT)) & (F.col("z") >= LEAST_Z) & (F.col("t") >= MIN_CONTEXTS))
@@ -299,6 +301,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 n.append(len(hits))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "score", "n_hits"])
 
+    bounded_batches(docs.sparkSession)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     found = slim.mapInArrow(scored, f"doc_id {kind}, score double, n_hits long")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once: bounds the arrays below. A longer text is handled alone, whole.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _B = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
