@@ -250,3 +250,17 @@ def test_a_fold_of_a_prefix_goes_on_with_the_tail(spark):
 
 def test_any_is_default(store):
     assert handler(store).expected == ANY
+
+
+def test_observed_store_counts_what_succeeded(spark, store):
+    from tidelog.telemetry import ObservedStore
+
+    records = Recorder()
+    observed = ObservedStore(store, records, lambda: {"causation_id": "c-1", "trace": ""})
+    observed.append([{"stream_id": "a", "event_type": "x", "metadata": {"user": "u"}}, {"stream_id": "a", "event_type": "y"}])
+    with pytest.raises(RevisionConflict):
+        observed.append([{"stream_id": "a", "event_type": "z"}], Revision(7))
+    log = observed.read()
+    assert [r["metadata"] for r in log.load_stream("a").collect()] == [{"user": "u", "causation_id": "c-1"}, {"causation_id": "c-1"}]
+    rows = {r["operation"]: r for r in counters(records.table(spark), "operation").collect()}
+    assert tuple(rows["append"])[1:] == (2, 1, 1, 2) and rows["load"]["calls"] == 1 and observed.head("a") == 2

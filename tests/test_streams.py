@@ -158,3 +158,18 @@ def test_log_as_a_streaming_source(store, spark, tmp_path):
     want = 1
     run()
     assert set(got) == {("s1", 3, 3)}
+
+
+def test_spool_and_listener(store, spark, tmp_path):
+    from tidelog.streaming.subscribe import spooled
+    from tidelog.telemetry import Recorder, stream_listener
+
+    add(store, "a", "x", "y")
+    records = Recorder()
+    listener = stream_listener(records)
+    spark.streams.addListener(listener)
+    try:
+        Subscriptions(store).run("spool", spooled(str(tmp_path / "spool")))
+    finally:
+        spark.streams.removeListener(listener)
+    assert spark.read.json(str(tmp_path / "spool")).count() == 2

@@ -12,7 +12,7 @@ from tidelog.envelope import STREAM_EXISTS, Revision
 from tidelog.operators import decide, fold, windows
 from tidelog.plans.scratch import keep, scratch_path
 from tidelog.registry import EventRegistry
-from tidelog.sources.logs import EventLog
+from tidelog.sources.logs import EventLog, envelope_defaults
 from tidelog.sources.tables import conversation_log, order_log, table, user_log
 from tidelog.telemetry import counters, histogram, in_flight
 
@@ -122,6 +122,13 @@ def envelope_log(spark: SparkSession, d: str) -> DataFrame:
     return user_log(spark, d).select("event_id", "stream_id", "aggregate_id", "version", "global_version", "event_type", "payload", F.element_at("metadata", "user").alias("user_meta"), "occurred_at")
 
 
+@query("SELECT event_id, '' AS aggregate_id, CAST(0 AS BIGINT) AS version, global_version, CAST(0 AS INTEGER) AS entries FROM l")
+def envelope_accessors(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of the envelope that a row lacks have defined values."""
+    bare = envelope_defaults(user_log(spark, d).select("event_id", "global_version", F.lit(None).cast("string").alias("aggregate_id")))
+    return bare.select("event_id", "aggregate_id", "version", "global_version", F.size("metadata").alias("entries"))
+
+
 @query("SELECT stream_id, version, event_type FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY version DESC) AS r FROM l) WHERE r <= 3")
 def per_stream_topk(spark: SparkSession, d: str) -> DataFrame:
     return EventLog(user_log(spark, d)).top_per_stream(3).select("stream_id", "version", "event_type")

@@ -160,3 +160,12 @@ class Subscriptions:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
+
+
+def spooled(path: str) -> Handler:
+    """A handler that leaves each batch as JSON lines in a folder of its own; the same batch again replaces it."""
+
+    def handler(events: DataFrame, batch: int) -> None:
+        events.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+    return handler

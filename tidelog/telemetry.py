@@ -117,3 +117,44 @@ def in_flight(records: DataFrame, *labels: str) -> DataFrame:
     ends = records.select(*labels, (F.col("started") + F.col("seconds")).alias("moment"), F.lit(-1).alias("step"))
     upto = Window.partitionBy(*labels).orderBy("moment", F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return starts.unionByName(ends).withColumn("in_flight", F.sum("step").over(upto))
+
+
+class ObservedStore:
+    """A store whose appends and loads are recorded, and whose events carry causation, correlation and trace entries.
+
+    Events count as appended only if the append succeeded; a conflict counts as one.
+    """
+
+    def __init__(self, store: Any, recorder: Recorder, context: Callable[[], dict[str, str]] = dict) -> None:
+        self.store, self.recorder, self.context = store, recorder, context
+
+    def append(self, rows: list[dict], *args: Any) -> Any:
+        extra = self.context()
+        stamped_rows = [{**r, "metadata": stamped(r.get("metadata") or {}, **extra)} for r in rows]
+        call = timed(self.recorder, "store", name=lambda m: m[0].get("stream_id", "") if m else "", operation="append", events=lambda _: len(rows))
+        return call(lambda m: self.store.append(m, *args))(stamped_rows)
+
+    def read(self, *args: Any) -> Any:
+        return timed(self.recorder, "store", name=lambda _: "log", operation="load")(lambda _: self.store.read(*args))(None)
+
+    def head(self, stream_id: str) -> int:
+        return self.store.head(stream_id)
+
+
+def stream_listener(recorder: Recorder) -> Any:
+    """A StreamingQueryListener that records each micro-batch as handled rows, and a query that ends with an error."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event: Any) -> None:
+            pass
+
+        def onQueryProgress(self, event: Any) -> None:
+            p = event.progress
+            recorder.add("subscription", p.name or str(p.id), "batch", time.time(), (p.durationMs or {}).get("triggerExecution", 0) / 1000, None, int(p.numInputRows))
+
+        def onQueryTerminated(self, event: Any) -> None:
+            if event.exception:
+                recorder.add("subscription", str(event.id), "end", time.time(), 0.0, RuntimeError(event.exception))
+
+    return Listener()
