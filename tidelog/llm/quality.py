@@ -29,19 +29,19 @@ _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", "n_repeat_words", "n_distinct_words", "longest_word"]
 
 
-def measured(batches: Iterator[pa.RecordBatch], text: str = "text", carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> Iterator[pa.RecordBatch]:
+def measured(batches: Iterator[pa.RecordBatch], column: str = "text", carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> Iterator[pa.RecordBatch]:
     """The columns of ``carry`` and MEASURES, all int64, of each row."""
     hasher, windows = Hasher(), Windows()
     for batch in batches:
-        for part, data, offsets in chunks(batch, text):
+        for part, data, offsets in chunks(batch, column):
             n = part.num_rows
             w = Words(data, offsets)
             owner, size = w.owner(), np.diff(w.first)
             lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
             chars = lead[w.ends] - lead[w.starts]
             hashes = hasher(data, w.starts, w.ends)
-            at, text, keys = windows(hashes, w.first, 8)
-            twice = repeated(keys ^ mix(text.astype(np.uint64)))
+            at, owner_of, keys = windows(hashes, w.first, 8)
+            twice = repeated(keys ^ mix(owner_of.astype(np.uint64)))
             again = covered(at[twice], 8, len(hashes))
 
             cut = np.zeros(len(data) + 1, bool)
