@@ -28,7 +28,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def keep(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back with the schema it had."""
+    """Write df as Parquet to the shared folder and read it back with its columns and types."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write.option("compression", "zstd")
@@ -47,3 +47,18 @@ def drop(df: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+
+
+def sweep(spark: SparkSession, older_than_hours: float = 24.0) -> int:
+    """Delete kept tables that were last touched so long ago; how many. Run it when no query that uses them is left."""
+    import time
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidelog-scratch")
+    files = root.getFileSystem(conf)
+    if not files.exists(root):
+        return 0
+    old = [s.getPath() for s in files.listStatus(root) if s.getModificationTime() < (time.time() - older_than_hours * 3600) * 1000]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
