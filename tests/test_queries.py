@@ -39,6 +39,10 @@ def test_same_rows_as_sql(spark, con, name):
     assert plain(rows) == plain(wanted)
 
 
+def test_every_event_is_named(spark):
+    assert QUERIES["type_names_whole"](spark, FOLDER).where("name is not null").count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 

@@ -280,6 +280,13 @@ def type_names(spark: SparkSession, d: str) -> DataFrame:
     return user_log(spark, d).where("global_version <= 200").select("global_version", fn.type_name(full).alias("name"))
 
 
+@query("SELECT global_version, event_type || '[a.b.C]' AS name FROM l")
+def type_names_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The name of every event of the log."""
+    full = F.concat(F.lit("*pkg/path.v2."), F.col("event_type"), F.lit("[a.b.C]"))
+    return user_log(spark, d).select("global_version", fn.type_name(full).alias("name"))
+
+
 @query("SELECT global_version, lpad(CAST(version AS VARCHAR), 10, '0') || '-' || event_type || '.json' AS name, version AS parsed FROM l")
 def sequence_names(spark: SparkSession, d: str) -> DataFrame:
     named = user_log(spark, d).withColumn("name", fn.padded_name("version", "event_type"))
