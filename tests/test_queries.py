@@ -43,6 +43,11 @@ def test_every_event_is_named(spark):
     assert QUERIES["type_names_whole"](spark, FOLDER).where("name is not null").count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
 
 
+def test_list_fold_has_every_event(spark):
+    sizes = [len(r["types"].split(",")) for r in QUERIES["fold_list_whole"](spark, FOLDER).collect()]
+    assert sum(sizes) == spark.read.parquet(f"{FOLDER}/events.parquet").count() and max(sizes) > 5
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 

@@ -226,6 +226,13 @@ def fold_list(spark: SparkSession, d: str) -> DataFrame:
     return log.groupBy("stream_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("first_types"))
 
 
+@query("SELECT stream_id, string_agg(event_type, ',' ORDER BY version) AS types FROM l GROUP BY stream_id")
+def fold_list_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every event of a stream, in order; a row is as long as its stream."""
+    ordered = F.array_sort(F.collect_list(F.struct("version", "event_type")))
+    return user_log(spark, d).groupBy("stream_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("types"))
+
+
 @query("SELECT s.stream_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT 'user-' || (user_id * 2) AS stream_id FROM events) s LEFT JOIN (SELECT stream_id, count(*) AS n FROM l GROUP BY stream_id) c USING (stream_id)")
 def initial_state(spark: SparkSession, d: str) -> DataFrame:
     state = fold.fold_aggregate(user_log(spark, d), n=F.count(F.lit(1)))
