@@ -48,6 +48,11 @@ def test_list_fold_has_every_event(spark):
     assert sum(sizes) == spark.read.parquet(f"{FOLDER}/events.parquet").count() and max(sizes) > 5
 
 
+def test_every_error_gives_a_command(spark):
+    errors = spark.read.parquet(f"{FOLDER}/events.parquet").where("event_type = 'error'")
+    assert QUERIES["process_events_whole"](spark, FOLDER).select("command_id").distinct().count() == errors.count()
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 

@@ -400,6 +400,13 @@ def process_events(spark: SparkSession, d: str) -> DataFrame:
     return errors.select(fn.stream_name(F.lit("case"), "aggregate_id").alias("stream_id"), F.col("global_version").alias("command_id"), F.lit("Follow").alias("command"))
 
 
+@query("SELECT 'case-' || user_id AS stream_id, global_version AS command_id, 'Follow' AS command FROM l WHERE event_type = 'error'")
+def process_events_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every error event turned into a command on another stream."""
+    errors = EventLog(user_log(spark, d)).of_types(["error"]).events
+    return errors.select(fn.stream_name(F.lit("case"), "aggregate_id").alias("stream_id"), F.col("global_version").alias("command_id"), F.lit("Follow").alias("command"))
+
+
 @query("SELECT stream_id, due_at FROM (SELECT stream_id, max(occurred_at) FILTER (event_type = 'signup') + INTERVAL 3 DAY AS due_at, bool_or(event_type = 'error' AND value > 90) AS over FROM l GROUP BY stream_id) WHERE NOT over AND due_at <= TIMESTAMP '2024-02-01 00:00:00'")
 def delayed_actions(spark: SparkSession, d: str) -> DataFrame:
     from tidelog.streaming.projections import due
