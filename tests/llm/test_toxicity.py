@@ -31,6 +31,27 @@ def test_stems_take_any_ending():
     assert plain("(1d10T!)") == "idiot" and plain("2024") == "2024"
 
 
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text(alphabet="abc", min_size=4, max_size=9), min_size=1, max_size=5, unique=True), st.sets(st.integers(0, 4)), st.text(alphabet="abcd", max_size=14))
+def test_automaton_with_stems_equals_edit_distance(bodies, stems, word):
+    terms = [b + "*" * (i in stems) for i, b in enumerate(bodies)]
+    near = lambda t: min(distance(word[:k], t[:-1]) for k in range(len(word) + 1)) if t.endswith("*") else distance(word, t)
+    found, best = FuzzyLexicon(terms).match(word), min(((near(t), i) for i, t in enumerate(terms) if near(t) <= allowed_edits(t)), default=None)
+    assert (found and found[0]) == (best and best[0]) and (not found or near(terms[found[1]]) == found[0])
+
+
+def test_misspelled_stems_are_hits():
+    lexicon = FuzzyLexicon(["bomente*", "achlich*", "vequ*"])
+    assert lexicon.match("bomentecil") == (0, 0) and lexicon.match("bomnteci") == (1, 0) and lexicon.match("achlixhkeit") == (1, 1) and lexicon.match("axchlichkeit") == (1, 1)
+    assert lexicon.match("ahclichkeit") is None and lexicon.match("vexuoir") is None  # two letters swapped are two edits; four letters allow none
+
+
+def test_known_words_are_no_misspelled_stems():
+    lexicon = FuzzyLexicon(["achlich*", "sachlicht"], frozenset({"sachlich", "sachlichta", "achlichen"}))
+    assert lexicon.match("sachlich") == (1, 1) and lexicon.match("sachlichta") == (1, 1) and lexicon.match("achlichen") == (0, 0)
+    assert FuzzyLexicon(["achlich*"], frozenset({"sachlich"})).match("sachlich") is None and FuzzyLexicon(["achlich*"]).match("sachlich") == (1, 0)
+
+
 def build(n=900, seed=4):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("aeioustrnlm") for _ in range(rng.randint(3, 8))) for _ in range(400)]

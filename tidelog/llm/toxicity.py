@@ -1,9 +1,9 @@
 """Toxicity: an automaton of misspelled lexicon terms, and the windows around what it finds.
 
 Terms are learned: words, and stems of words (``abcd*``: any ending), that occur in many different contexts of toxic training
-texts and in hardly any of others (contexts, not documents, so that copies of one text count once). Their trie is intersected with Levenshtein automata (words: 1 edit from
-5 letters, 2 from 9; stems: none) into one deterministic automaton, whose states are sets of (trie node, edits) and are built
-when first reached. Words near a hit are weighed too (learned from windows around hits in toxic and other texts), as is
+texts and in hardly any of others (contexts, not documents, so that copies of one text count once). Their trie is intersected with Levenshtein automata (1 edit from
+5 letters, 2 from 9; of a stem, whose distance is that of the nearest beginning of the word) into one deterministic automaton, whose states are sets of (trie node, edits) and are built
+when first reached. A word that training texts use as others do is no misspelling of a stem. Words near a hit are weighed too (learned from windows around hits in toxic and other texts), as is
 whether the hit stands in quotation marks; a logistic regression turns these into a score.
 
 Training reads a bounded sample: at most ``MAX_TRAIN`` labelled documents, those of smallest hash. Labels, language, source
@@ -48,7 +48,8 @@ def plain(word: str) -> str:
 
 
 def allowed_edits(term: str) -> int:
-    return 0 if len(term) < 5 or term.endswith("*") else 1 if len(term) < 9 else 2
+    letters = len(term.removesuffix("*"))
+    return 0 if letters < 5 else 1 if letters < 9 else 2
 
 
 class FuzzyLexicon:
@@ -56,8 +57,8 @@ class FuzzyLexicon:
 
     MAX_STATES = 200_000
 
-    def __init__(self, terms: list[str]) -> None:
-        self.terms = terms
+    def __init__(self, terms: list[str], known: frozenset[str] = frozenset()) -> None:
+        self.terms, self.known = terms, known
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
         self.most: list[int] = [0]  # edits that some term below allows
@@ -80,7 +81,8 @@ class FuzzyLexicon:
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
-        self.final: list[bool] = []  # a stem is complete: any ending will do
+        self.whole: list[tuple[int, int] | None] = []  # the same without stems, for known words
+        self.final: list[bool] = []  # a stem is complete without edits: any ending will do
         self.number({(0, 0)})
 
     def number(self, states: set[tuple[int, int]]) -> int:
@@ -101,15 +103,21 @@ class FuzzyLexicon:
             self.sets.append(key)
             self.steps.append({})
             hits = [(edits, self.ends[node]) for node, edits in key if self.ends[node] >= 0 and edits <= allowed_edits(self.terms[self.ends[node]])]
-            stems = [h for h in hits if self.terms[h[1]].endswith("*")]
+            stems = [h for h in hits if h[0] == 0 and self.terms[h[1]].endswith("*")]
             self.accepts.append(min(stems or hits) if hits else None)
+            self.whole.append(min((h for h in hits if not self.terms[h[1]].endswith("*")), default=None))
             self.final.append(bool(stems))
         return self.numbers[key]
 
+    def complete(self, node: int, edits: int) -> bool:
+        """Whether a stem ends at the node within its edits; what such a node leads on to is never nearer than the stem."""
+        term = self.terms[self.ends[node]] if self.ends[node] >= 0 else ""
+        return term.endswith("*") and edits <= allowed_edits(term)
+
     def step(self, state: int, c: str) -> int:
         after: set[tuple[int, int]] = set()
         for node, edits in self.sets[state]:
-            after.add((node, edits + 1))  # a letter too many
+            after.add((node, edits if self.complete(node, edits) else edits + 1))  # of an ending, or a letter too many
             for own, child in self.children[node].items():
                 after.add((child, edits if own == c else edits + 1))
         self.steps[state][c] = to = self.number(after)
@@ -124,8 +132,8 @@ class FuzzyLexicon:
             if state < 0:
                 return None
             if self.final[state]:
-                break
-        return self.accepts[state]
+                return self.accepts[state]
+        return self.whole[state] if word in self.known else self.accepts[state]
 
 
 @dataclass
@@ -134,6 +142,7 @@ class Model:
     weights: list[float] = field(default_factory=list)
     context: dict[str, float] = field(default_factory=dict)
     coefficients: list[float] = field(default_factory=list)
+    known: frozenset[str] = frozenset()
 
 
 N_FEATURES = 8
@@ -259,14 +268,25 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     bounded_batches(docs.sparkSession)
     train = keep(training_rows(docs, labels, most), "train")
     counts = train.mapInArrow(contexts, "word string, around string, toxic int").distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    counts = keep(counts, "counts")
     found = _log_odds(counts, MIN_CONTEXTS, stems=True).where((F.col("odds") >= math.log(LEAST_LIFT)) & (F.col("z") >= LEAST_Z) & (F.col("t") >= MIN_CONTEXTS))
     terms = chosen_terms(found.orderBy(F.desc(F.col("t") * F.col("odds")), "word").limit(8 * MAX_TERMS).collect())
     model = Model([t for t, _ in terms], [w for _, w in terms])
     if not terms:
         return model
 
+    def near_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = FuzzyLexicon([t for t in model.terms if t.endswith("*")])
+        for batch in batches:
+            rows = [w for w in batch.column("word").to_pylist() if (found := lexicon.match(w)) and found[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["word"])
+
+    if any(t.endswith("*") for t in model.terms):
+        used = _log_odds(counts, 1).where((F.col("o") > 0) & (F.col("odds") < math.log(LEAST_LIFT))).select("word")
+        model.known = frozenset(r["word"] for r in used.mapInArrow(near_stems, "word string").collect())
+
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, hasher = FuzzyLexicon(model.terms), Hasher()
+        lexicon, hasher = FuzzyLexicon(model.terms, model.known), Hasher()
         for batch in batches:
             labels_, rows = batch.column("toxic").to_pylist(), []
             for (lo, hi, word, hits), toxic in zip(hits_of(batch, lexicon, hasher), labels_, strict=True):
@@ -277,7 +297,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     model.context = {r["word"]: max(-2.0, min(2.0, float(r["odds"]))) for r in near.orderBy(F.desc(F.abs("odds")), "word").limit(MAX_CONTEXT).collect()}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, hasher = FuzzyLexicon(model.terms), Hasher()
+        lexicon, hasher = FuzzyLexicon(model.terms, model.known), Hasher()
         for batch in batches:
             rows = [features(lo, hi, word, hits, model) for lo, hi, word, hits in hits_of(batch, lexicon, hasher)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
@@ -291,7 +311,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, held_out, score, predicted, n_hits."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, hasher = FuzzyLexicon(model.terms), Hasher()
+        lexicon, hasher = FuzzyLexicon(model.terms, model.known), Hasher()
         beta = np.array(model.coefficients)
         for batch in batches:
             out, n = [], []
