@@ -73,6 +73,23 @@ def test_patterns_find_what_the_base_misses(make):
     assert out[100] == "please dial my number <PHONE> today ok" and out[3] == "please dial my number <PHONE> today ok" and out[101] == rows[-1][1]
 
 
+def test_identifiers_in_groups_are_found_whole(make):
+    phones = [(i, f"please dial my number +1 (555) 123-{4000 + i} today ok", "en", "s") for i in range(30)]
+    cards = [(50 + i, f"he gave his card number {c} as asked", "en", "s") for i, c in enumerate(valid_cards(30))]
+    odd = {100: "please dial my number (555) 123-4567 today ok", 101: "he gave his card number 4111 1111 1111 1112 as asked", 102: "see 12 34 or (555) 123-4567, 8 of them",
+           103: "please dial my number 555 0199 - 22, today ok", 104: "please dial my number 5550 1234\n777 today ok"}
+    rows = phones + cards + [(i, t, "en", "s") for i, t in odd.items()]
+    out = {r["doc_id"]: r["text"] for r in redact(make(rows)).collect()}
+    assert out[100] == "please dial my number <PHONE> today ok" and out[101] == "he gave his card number <CARD> as asked" and out[102] == odd[102]
+    assert out[103] == "please dial my number <PHONE>, today ok" and out[104] == "please dial my number <PHONE>\n777 today ok"
+
+
+def valid_cards(n):
+    from tidelog.llm.pii import luhn
+
+    return [f"4111 1111 {k // 10:04d} {k % 10}{e:03d}" for k in range(n) for e in [next(e for e in range(1000) if luhn(f"41111111{k // 10:04d}{k % 10}{e:03d}"))]]
+
+
 def test_redaction_keeps_all_else(docs, corpus, empty):
     out = redact(docs)
     assert out.columns == docs.columns and redact(empty).count() == 0

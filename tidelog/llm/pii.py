@@ -1,6 +1,7 @@
 """Personal data: four fixed patterns, and contextual extraction bootstrapped from what they find.
 
-Base spans (email, ip, card, phone) seed the method. Every token that looks like an identifier, seed or not, is an instance
+Base spans (email, ip, card, phone) seed the method. Every token that looks like an identifier, seed or not, and every run of
+adjacent groups of digits, is an instance
 with the lexical patterns around it (two words before; the word before and the word after). Patterns and
 instances form a bipartite graph that Spark scores in rounds: a pattern scores the share of its distinct instances that
 are known (seeds count 1, others their score so far), an instance the noisy-or of its patterns. Patterns that end above
@@ -34,6 +35,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
+#: Part of an identifier written in groups, and the most digits that one has (those of a card).
+_GROUP, MAX_DIGITS = re.compile(r"[0-9().+-]+"), 19
 _TRIM = ".,;:!?\"'()[]{}<>|=*#&%$"
 
 Span = tuple[int, int, int]
@@ -82,6 +85,27 @@ def looks_identifying(token: str) -> bool:
     return len(_DIGIT.findall(token)) >= 4 or "@" in token[1:-1]
 
 
+def grouped(text: str, tokens: list[tuple[int, int]], first: int, taken: set[int]) -> int:
+    """The last token of the groups of digits that begin with token ``first``, joined by spaces while they have ``MAX_DIGITS`` or fewer."""
+    token = text[slice(*tokens[first])].lstrip(_TRIM)
+    if not _GROUP.fullmatch(token) or not (digits := len(_DIGIT.findall(token))):
+        return first
+    last = first
+    for i in range(first + 1, len(tokens)):
+        if i in taken or text[tokens[i - 1][1] : tokens[i][0]].strip(" "):
+            break
+        token = text[slice(*tokens[i])]
+        core = token if _GROUP.fullmatch(token) else token.rstrip(_TRIM)
+        digits += len(_DIGIT.findall(core))
+        if not _GROUP.fullmatch(core) or digits > MAX_DIGITS:
+            break
+        if _DIGIT.search(core):
+            last = i
+        if core != token:
+            break
+    return last
+
+
 def instances(text: str, spans: list[Span]) -> list[tuple[int, int, int | None, str, list[str]]]:
     """(start, end, kind of a seed or None, what it is, its patterns)."""
     if not spans and "@" not in text and not _DIGIT.search(text):
@@ -101,14 +125,20 @@ def instances(text: str, spans: list[Span]) -> list[tuple[int, int, int | None,
         first, last = bisect.bisect_right(starts, start) - 1, bisect.bisect_left(starts, end) - 1
         taken.update(range(first, last + 1))
         out.append((start, end, kind, text[start:end].lower()[:80], patterns(first, last)))
-    for i, (start, end) in enumerate(tokens):
-        if i in taken:
+    last = -1
+    for i in range(len(tokens)):
+        if i in taken or i <= last:
             continue
+        last = grouped(text, tokens, i, taken)
+        start, end = tokens[i][0], tokens[last][1]
         token = text[start:end]
         core = token.strip(_TRIM)
         if core and looks_identifying(core):
             a = start + token.index(core)
-            out.append((a, a + len(core), None, core.lower()[:80], patterns(i, i)))
+            b = a + len(core)
+            if a > start and text[a - 1] == "(" and core.count(")") > core.count("("):
+                a -= 1
+            out.append((a, b, None, text[a:b].lower()[:80], patterns(i, last)))
     return out
 
 
