@@ -90,6 +90,13 @@ def valid_cards(n):
     return [f"4111 1111 {k // 10:04d} {k % 10}{e:03d}" for k in range(n) for e in [next(e for e in range(1000) if luhn(f"41111111{k // 10:04d}{k % 10}{e:03d}"))]]
 
 
+def test_long_tokens_are_told_apart():
+    from tidelog.llm.pii import instances
+
+    one, two = (instances(f"{'w' * 60}{end} so 1234{'x' * 90}{end} there", [])[0] for end in "ab")
+    assert one[3] != two[3] and one[4][0] != two[4][0] and one[3] == instances(f"1234{'X' * 90}A", [])[0][3]
+
+
 def test_redaction_keeps_all_else(docs, corpus, empty):
     out = redact(docs)
     assert out.columns == docs.columns and redact(empty).count() == 0

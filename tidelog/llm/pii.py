@@ -14,6 +14,7 @@ table gives no rows. Texts are searched whole in linear time.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -85,6 +86,11 @@ def looks_identifying(token: str) -> bool:
     return len(_DIGIT.findall(token)) >= 4 or "@" in token[1:-1]
 
 
+def key(what: str, most: int) -> str:
+    """what, or a hash of all of it if it is longer than ``most``."""
+    return what if len(what) <= most else "#" + hashlib.blake2b(what.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def grouped(text: str, tokens: list[tuple[int, int]], first: int, taken: set[int]) -> int:
     """The last token of the groups of digits that begin with token ``first``, joined by spaces while they have ``MAX_DIGITS`` or fewer."""
     token = text[slice(*tokens[first])].lstrip(_TRIM)
@@ -112,7 +118,7 @@ def instances(text: str, spans: list[Span]) -> list[tuple[int, int, int | None,
         return []
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     starts, out, seeds = [a for a, _ in tokens], [], sorted(spans)
-    word = lambda i: text[tokens[i][0] : tokens[i][1]].lower().strip(_TRIM)[:40] if 0 <= i < len(tokens) else ""
+    word = lambda i: key(text[tokens[i][0] : tokens[i][1]].lower().strip(_TRIM), 40) if 0 <= i < len(tokens) else ""
 
     def patterns(first: int, last: int) -> list[str]:
         a, b, c = word(first - 2), word(first - 1), word(last + 1)
@@ -124,7 +130,7 @@ def instances(text: str, spans: list[Span]) -> list[tuple[int, int, int | None,
     for start, kind, end in seeds:
         first, last = bisect.bisect_right(starts, start) - 1, bisect.bisect_left(starts, end) - 1
         taken.update(range(first, last + 1))
-        out.append((start, end, kind, text[start:end].lower()[:80], patterns(first, last)))
+        out.append((start, end, kind, key(text[start:end].lower(), 80), patterns(first, last)))
     last = -1
     for i in range(len(tokens)):
         if i in taken or i <= last:
@@ -138,7 +144,7 @@ def instances(text: str, spans: list[Span]) -> list[tuple[int, int, int | None,
             b = a + len(core)
             if a > start and text[a - 1] == "(" and core.count(")") > core.count("("):
                 a -= 1
-            out.append((a, b, None, text[a:b].lower()[:80], patterns(i, last)))
+            out.append((a, b, None, key(text[a:b].lower(), 80), patterns(i, last)))
     return out
 
 
