@@ -48,6 +48,17 @@ def test_failures_policies_and_ablations(docs):
     assert set(POLICIES["base"]) < {n for n, _ in RULES}
 
 
+def test_variety_does_not_fall_with_length(make):
+    import random
+
+    rng = random.Random(3)
+    clean = " ".join(f"word{rng.randrange(45_000)}" for _ in range(1_050_000))
+    poor = " ".join(f"word{rng.randrange(400)}" for _ in range(100_000))
+    rows = {r["doc_id"]: r for r in ledger(make([(1, clean, "en", "s"), (2, poor, "en", "s"), (3, clean[:20_000], "en", "s")])).collect()}
+    assert 20 * rows[1]["n_distinct_words"] < rows[1]["n_words"] and rows[1]["failures"] == 0
+    assert rows[2]["failures"] == policy_mask(("few_kinds",)) and rows[3]["n_window_kinds"] == rows[3]["n_distinct_words"]
+
+
 def test_filter_keeps_rows_as_they_are(docs, corpus, empty):
     out = filter_documents(docs)
     assert out.columns == docs.columns

@@ -26,7 +26,9 @@ from tidelog.llm.words import Hasher, Windows, Words, chunks, covered, mix, repe
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", "n_repeat_words", "n_distinct_words", "longest_word"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", "n_repeat_words", "n_distinct_words", "longest_word", "n_window_kinds"]
+#: Distinct words are counted in windows of so many words, as their share of a text falls with its length.
+WINDOW = 32_768
 
 
 def measured(batches: Iterator[pa.RecordBatch], column: str = "text", carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> Iterator[pa.RecordBatch]:
@@ -57,6 +59,10 @@ def measured(batches: Iterator[pa.RecordBatch], column: str = "text", carry: tup
             dup = np.ones(len(begins), bool)
             dup[once] = False
             _, kinds = np.unique(hashes ^ mix(owner.astype(np.uint64)), return_index=True)
+            kinds_near = kinds
+            if len(size) and size.max() > WINDOW:
+                window = (np.arange(len(hashes)) - w.first[owner]) // WINDOW
+                _, kinds_near = np.unique(hashes ^ mix((owner.astype(np.uint64) << np.uint64(32)) + window.astype(np.uint64)), return_index=True)
             longest = np.zeros(n, np.int64)
             np.maximum.at(longest, owner, chars)
             by = lambda where, weights=None: np.bincount(where, weights, minlength=n).astype(np.int64)
@@ -71,6 +77,7 @@ def measured(batches: Iterator[pa.RecordBatch], column: str = "text", carry: tup
                 "n_repeat_words": by(owner[again]),
                 "n_distinct_words": by(owner[kinds]),
                 "longest_word": longest,
+                "n_window_kinds": by(owner[kinds_near]),
             }
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *(pa.array(out[k].astype(np.int64)) for k in MEASURES)], names=[*carry, *(prefix + k for k in MEASURES)])
 
@@ -84,7 +91,7 @@ RULES: list[tuple[str, str]] = [
     ("repeated_line_chars", "2 * dup_line_chars > word_chars"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 25 * n_words"),
-    ("few_kinds", "n_words >= 100 and 20 * n_distinct_words < n_words"),
+    ("few_kinds", "n_words >= 100 and 20 * n_window_kinds < n_words"),
 ]
 
 #: Versioned policies: names of the rules whose failure rejects a text.
