@@ -264,3 +264,43 @@ def test_observed_store_counts_what_succeeded(spark, store):
     assert [r["metadata"] for r in log.load_stream("a").collect()] == [{"user": "u", "causation_id": "c-1"}, {"causation_id": "c-1"}]
     rows = {r["operation"]: r for r in counters(records.table(spark), "operation").collect()}
     assert tuple(rows["append"])[1:] == (2, 1, 1, 2) and rows["load"]["calls"] == 1 and observed.head("a") == 2
+
+
+def refuses_by_name(state, command):
+    if state:
+        raise RuleViolation("one is enough")
+    return [{"event_type": "Made"}]
+
+
+def refuses_by_import(state, command):
+    from tidelog.errors import RuleViolation as Again
+
+    if state:
+        raise Again("one is enough")
+    return [{"event_type": "Made"}]
+
+
+def breaks(state, command):
+    raise ValueError("odd")
+
+
+@pytest.mark.parametrize("by_value", [False, True])
+def test_rule_rejections_of_workers(spark, by_value):
+    """Rejections are told by their mark, whether a worker has the library's classes by name or as copies."""
+    import tidelog
+    from pyspark import cloudpickle
+    from tidelog.operators.decide import serial_decisions
+
+    work = spark.createDataFrame([(s, i, i) for s in "abc" for i in range(10)] + [("hot", i, i) for i in range(200)], "stream_id string, seq long, command_id long")
+    if by_value:
+        cloudpickle.register_pickle_by_value(tidelog)
+    try:
+        for decide in (refuses_by_name, refuses_by_import):
+            rows = serial_decisions(work, decide, lambda s, e: s + 1, lambda: 0, []).collect()
+            assert len(rows) == 230 and {(r["command_id"], r["version"], r["kind"]) for r in rows if r["stream_id"] == "hot"} == {(i, None if i else 1, "rule" if i else None) for i in range(200)}
+            assert sum(r["kind"] == "rule" for r in rows) == 226
+        failed = serial_decisions(work, breaks, lambda s, e: s, lambda: 0, []).collect()
+        assert len(failed) == 230 and {(r["kind"], r["message"]) for r in failed} == {("failed", "ValueError: odd")}
+    finally:
+        if by_value:
+            cloudpickle.unregister_pickle_by_value(tidelog)

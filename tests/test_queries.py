@@ -40,17 +40,17 @@ def test_same_rows_as_sql(spark, con, name):
 
 
 def test_every_event_is_named(spark):
-    assert QUERIES["type_names_whole"](spark, FOLDER).where("name is not null").count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+    assert QUERIES["type_names"](spark, FOLDER).where("name is not null").count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
 
 
 def test_list_fold_has_every_event(spark):
-    sizes = [len(r["types"].split(",")) for r in QUERIES["fold_list_whole"](spark, FOLDER).collect()]
+    sizes = [len(r["types"].split(",")) for r in QUERIES["fold_list"](spark, FOLDER).collect()]
     assert sum(sizes) == spark.read.parquet(f"{FOLDER}/events.parquet").count() and max(sizes) > 5
 
 
 def test_every_error_gives_a_command(spark):
     errors = spark.read.parquet(f"{FOLDER}/events.parquet").where("event_type = 'error'")
-    assert QUERIES["process_events_whole"](spark, FOLDER).select("command_id").distinct().count() == errors.count()
+    assert QUERIES["process_events"](spark, FOLDER).select("command_id").distinct().count() == errors.count()
 
 
 def test_entry_has_rows(spark):

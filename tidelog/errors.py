@@ -6,6 +6,10 @@ from __future__ import annotations
 class LogError(Exception):
     """Any error of the log."""
 
+    #: Whether the error is a handler's verdict on a command. Workers may hold a copy of these classes beside the imported
+    #: ones, so code that runs there asks for this and not for the class.
+    rejects = False
+
 
 class StreamNotFound(LogError):
     """A stream had to exist."""
@@ -70,6 +74,8 @@ class SkippedEvent(LogError):
 class RuleViolation(LogError):
     """A command was rejected by a business rule; ``cause`` says by which."""
 
+    rejects = True
+
     def __init__(self, cause: BaseException | str | None = None) -> None:
         super().__init__("business rule violation" + (f": {cause}" if cause else ""))
         self.cause = cause

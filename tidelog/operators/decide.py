@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -69,37 +69,44 @@ def decide_batch(commands: DataFrame, decide: Column, reject: Column | None = No
     return Decisions(numbered, rejections)
 
 
-def serial_decisions(work: DataFrame, decide: Callable[[Any, dict], list[dict]], evolve: Callable[[Any, dict], Any], initial: Callable[[], Any], columns: list[str], by: str = "shard") -> DataFrame:
+def serial_decisions(work: DataFrame, decide: Callable[[Any, dict], list[dict]], evolve: Callable[[Any, dict], Any], initial: Callable[[], Any], columns: list[str], by: str = "stream_id") -> DataFrame:
     """Commands of one key, one after the other, each against the state that the ones before left behind.
 
-    work: ``by``, seq, stream_id, command_id and ``columns``. A decision that raises RuleViolation, or any other error, gives
-    a rejection row and the next command goes on. Returns stream_id, command_id, version, event_type, payload, kind, message.
+    work: ``by`` (the stream, or a shard of streams), seq, stream_id, command_id and ``columns``. A decision that raises an error
+    that ``rejects`` (RuleViolation, or a class with that attribute), or any other error, gives a rejection row and the next
+    command goes on. Returns stream_id, command_id, version, event_type, payload, kind, message. A task reads its keys'
+    commands in order, batch by batch, and holds the states of one key, so a key of very many commands needs time but no memory.
     """
 
-    def one_key(pdf: pd.DataFrame) -> pd.DataFrame:
+    def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: Any = None
         states: dict[str, Any] = {}
         heads: dict[str, int] = {}
-        out = []
-        for command in pdf.sort_values("seq").to_dict("records"):
-            stream = command["stream_id"]
-            state, head = states.get(stream) if stream in states else initial(), heads.get(stream, 0)
-            try:
-                made = decide(state, command) or []
-                for event in made:
-                    head += 1
-                    state = evolve(state, event)
-                    out.append((stream, command["command_id"], head, event["event_type"], event.get("payload"), None, None))
-                states[stream], heads[stream] = state, head
-            except RuleViolation as e:
-                out.append((stream, command["command_id"], None, None, None, "rule", str(e)))
-            except Exception as e:  # noqa: BLE001  a failing handler must not stop the others
-                out.append((stream, command["command_id"], None, None, None, "failed", f"{type(e).__name__}: {e}"))
-        frame = pd.DataFrame(out, columns=["stream_id", "command_id", "version", "event_type", "payload", "kind", "message"])
-        return frame.astype({"version": "Int64"})
+        for pdf in batches:
+            out = []
+            for command in pdf.to_dict("records"):
+                if command[by] != key:
+                    key, states, heads = command[by], {}, {}
+                stream = command["stream_id"]
+                state, head = states.get(stream) if stream in states else initial(), heads.get(stream, 0)
+                try:
+                    made, rows = decide(state, command) or [], []
+                    for event in made:
+                        head += 1
+                        state = evolve(state, event)
+                        rows.append((stream, command["command_id"], head, event["event_type"], event.get("payload"), None, None))
+                    states[stream], heads[stream] = state, head
+                    out += rows
+                except Exception as e:  # noqa: BLE001  a failing handler must not stop the others
+                    rule = getattr(e, "rejects", False)
+                    out.append((stream, command["command_id"], None, None, None, "rule" if rule else "failed", str(e) if rule else f"{type(e).__name__}: {e}"))
+            frame = pd.DataFrame(out, columns=["stream_id", "command_id", "version", "event_type", "payload", "kind", "message"])
+            yield frame.astype({"version": "Int64"})
 
     kind = work.schema["command_id"].dataType.simpleString()
     schema = f"stream_id string, command_id {kind}, version long, event_type string, payload string, kind string, message string"
-    return work.select(by, "seq", "stream_id", "command_id", *columns).groupBy(by).applyInPandas(one_key, schema)
+    needed = list(dict.fromkeys([by, "seq", "stream_id", "command_id", *columns]))
+    return work.select(*needed).repartition(by).sortWithinPartitions(by, "seq").mapInPandas(in_order, schema)
 
 
 @dataclass
@@ -132,9 +139,9 @@ class CommandHandler:
                 state, version = self.evolve(state, row), row["version"]
             try:
                 made = self.decide(state, command)
-            except RuleViolation:
-                raise
             except Exception as e:
+                if getattr(e, "rejects", False):
+                    raise
                 raise RuleViolation(e) from e
             if not made:
                 return AppendResult(True, stream, version)

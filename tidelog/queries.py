@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog import functions as fn
 from tidelog.envelope import STREAM_EXISTS, Revision
+from tidelog.errors import RuleViolation
 from tidelog.operators import decide, fold, windows
 from tidelog.plans.scratch import keep, scratch_path
 from tidelog.registry import EventRegistry
@@ -53,8 +54,7 @@ def load_from_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT stream_id, CASE WHEN 66 > max(version) THEN 'invalid_revision' WHEN 66 = max(version) THEN 'empty' ELSE 'rows' END AS outcome FROM l GROUP BY stream_id")
 def load_beyond_head(spark: SparkSession, d: str) -> DataFrame:
-    heads = EventLog(user_log(spark, d)).heads()
-    return heads.select("stream_id", F.when(F.col("head") < 66, "invalid_revision").when(F.col("head") == 66, "empty").otherwise("rows").alias("outcome"))
+    return EventLog(user_log(spark, d)).outcomes(Revision(66))
 
 
 @query("SELECT stream_id, max(version) AS head, count(*) AS events FROM l GROUP BY stream_id")
@@ -64,7 +64,7 @@ def stream_heads(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT max(global_version) AS last_position, count(*) AS events FROM l")
 def last_position(spark: SparkSession, d: str) -> DataFrame:
-    return user_log(spark, d).agg(F.max("global_version").alias("last_position"), F.count(F.lit(1)).alias("events"))
+    return EventLog(user_log(spark, d)).extent()
 
 
 @query("SELECT global_version, stream_id, event_type FROM l WHERE global_version > 500 AND event_type IN ('purchase', 'signup') ORDER BY global_version LIMIT 100")
@@ -216,18 +216,12 @@ def fold_any_code(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS events, count(DISTINCT stream_id) AS streams, round(sum(value), 2) AS total FROM l GROUP BY event_type")
 def fold_all_streams(spark: SparkSession, d: str) -> DataFrame:
-    return user_log(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("stream_id").alias("streams"), F.round(F.sum("value"), 2).alias("total"))
-
-
-@query("SELECT stream_id, string_agg(event_type, ',' ORDER BY version) AS first_types FROM l WHERE version <= 5 GROUP BY stream_id")
-def fold_list(spark: SparkSession, d: str) -> DataFrame:
-    log = user_log(spark, d).where("version <= 5")
-    ordered = F.array_sort(F.collect_list(F.struct("version", "event_type")))
-    return log.groupBy("stream_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("first_types"))
+    out = fold.fold_aggregate(user_log(spark, d), "event_type", events=F.count(F.lit(1)), streams=F.countDistinct("stream_id"), total=F.round(F.sum("value"), 2))
+    return out.drop("version")
 
 
 @query("SELECT stream_id, string_agg(event_type, ',' ORDER BY version) AS types FROM l GROUP BY stream_id")
-def fold_list_whole(spark: SparkSession, d: str) -> DataFrame:
+def fold_list(spark: SparkSession, d: str) -> DataFrame:
     """Every event of a stream, in order; a row is as long as its stream."""
     ordered = F.array_sort(F.collect_list(F.struct("version", "event_type")))
     return user_log(spark, d).groupBy("stream_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("types"))
@@ -281,14 +275,8 @@ def shard_fnv1a(spark: SparkSession, d: str) -> DataFrame:
     return user_log(spark, d).select("stream_id").distinct().select("stream_id", fn.shard("stream_id", 8).alias("shard"))
 
 
-@query("SELECT global_version, event_type || '[a.b.C]' AS name FROM l WHERE global_version <= 200")
-def type_names(spark: SparkSession, d: str) -> DataFrame:
-    full = F.concat(F.lit("*pkg/path.v2."), F.col("event_type"), F.lit("[a.b.C]"))
-    return user_log(spark, d).where("global_version <= 200").select("global_version", fn.type_name(full).alias("name"))
-
-
 @query("SELECT global_version, event_type || '[a.b.C]' AS name FROM l")
-def type_names_whole(spark: SparkSession, d: str) -> DataFrame:
+def type_names(spark: SparkSession, d: str) -> DataFrame:
     """The name of every event of the log."""
     full = F.concat(F.lit("*pkg/path.v2."), F.col("event_type"), F.lit("[a.b.C]"))
     return user_log(spark, d).select("global_version", fn.type_name(full).alias("name"))
@@ -372,13 +360,17 @@ def decide_rejections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _at_most_five(state: int, command: dict) -> list[dict]:
-    from tidelog.errors import RuleViolation
-
     if state >= 5:
         raise RuleViolation("five are enough")
     return [{"event_type": "Clicked"}]
 
 
+def _three_cases(state: int, command: dict) -> list[dict]:
+    if state >= 3:
+        raise RuleViolation("three open cases are enough")
+    return [{"event_type": "Opened"}]
+
+
 def _count_up(state: int, event: dict) -> int:
     return state + 1
 
@@ -389,22 +381,17 @@ def _zero() -> int:
 
 @query("SELECT stream_id, global_version AS command_id, CASE WHEN r <= 5 THEN r END AS version, CASE WHEN r > 5 THEN 'rule' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY global_version) AS r FROM l WHERE event_type = 'click')")
 def decide_serial(spark: SparkSession, d: str) -> DataFrame:
-    clicks = user_log(spark, d).where("event_type = 'click'").select("stream_id", F.col("global_version").alias("command_id"), F.col("global_version").alias("seq"), fn.shard("stream_id", 8).alias("shard"))
+    clicks = user_log(spark, d).where("event_type = 'click'").select("stream_id", F.col("global_version").alias("command_id"), F.col("global_version").alias("seq"))
     return decide.serial_decisions(clicks, _at_most_five, _count_up, _zero, []).select("stream_id", "command_id", "version", "kind")
 
 
-@query("SELECT 'case-' || user_id AS stream_id, global_version AS command_id, 'Follow' AS command FROM l WHERE event_type = 'error' AND version % 3 = 0")
+@query("SELECT 'case-' || user_id AS stream_id, global_version AS command_id, CASE WHEN r <= 3 THEN r END AS version, CASE WHEN r > 3 THEN 'rule' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY global_version) AS r FROM l WHERE event_type = 'error')")
 def process_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events turned into commands on other streams."""
-    errors = EventLog(user_log(spark, d)).of_types(["error"]).events.where("version % 3 = 0")
-    return errors.select(fn.stream_name(F.lit("case"), "aggregate_id").alias("stream_id"), F.col("global_version").alias("command_id"), F.lit("Follow").alias("command"))
-
-
-@query("SELECT 'case-' || user_id AS stream_id, global_version AS command_id, 'Follow' AS command FROM l WHERE event_type = 'error'")
-def process_events_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every error event turned into a command on another stream."""
+    """A processor: each error event becomes a command on another stream, decided against the state of that stream."""
     errors = EventLog(user_log(spark, d)).of_types(["error"]).events
-    return errors.select(fn.stream_name(F.lit("case"), "aggregate_id").alias("stream_id"), F.col("global_version").alias("command_id"), F.lit("Follow").alias("command"))
+    name = fn.stream_name(F.lit("case"), "aggregate_id")
+    commands = errors.select(name.alias("stream_id"), F.col("global_version").alias("command_id"), F.col("global_version").alias("seq"))
+    return decide.serial_decisions(commands, _three_cases, _count_up, _zero, []).select("stream_id", "command_id", "version", "kind")
 
 
 @query("SELECT stream_id, due_at FROM (SELECT stream_id, max(occurred_at) FILTER (event_type = 'signup') + INTERVAL 3 DAY AS due_at, bool_or(event_type = 'error' AND value > 90) AS over FROM l GROUP BY stream_id) WHERE NOT over AND due_at <= TIMESTAMP '2024-02-01 00:00:00'")
@@ -539,6 +526,8 @@ def stateful_projection(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT name, count(*) AS events FROM l JOIN (SELECT 'all' AS name, NULL AS kind UNION ALL SELECT 'errors', 'error' UNION ALL SELECT 'sales', 'purchase') s ON s.kind IS NULL OR s.kind = l.event_type GROUP BY name")
 def fan_out(spark: SparkSession, d: str) -> DataFrame:
     """Each event to every subscription whose types it matches; no types are all."""
-    wanted = {"all": [], "errors": ["error"], "sales": ["purchase"]}
-    hit = F.array_compact(F.array(*(F.when(F.col("event_type").isin(kinds) if kinds else F.lit(True), name) for name, kinds in wanted.items())))
-    return user_log(spark, d).select(F.explode(hit).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("events"))
+    from tidelog.streaming.subscribe import Subscription, fan_out as dealt
+
+    wanted = {"all": (), "errors": ("error",), "sales": ("purchase",)}
+    subscriptions = [Subscription(name, lambda rows, batch: None, types=kinds) for name, kinds in wanted.items()]
+    return dealt(user_log(spark, d), subscriptions).groupBy("name").agg(F.count(F.lit(1)).alias("events"))

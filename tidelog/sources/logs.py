@@ -70,11 +70,21 @@ class EventLog:
     def head(self, stream_id: str) -> int:
         return self.events.where(F.col("stream_id") == stream_id).agg(F.max("version")).first()[0] or 0
 
+    def outcomes(self, state: Revision) -> DataFrame:
+        """stream_id, outcome: what loading each stream after a revision gives, ``rows``, ``empty`` (at its head) or ``invalid_revision``
+        (beyond it). The rule is that of ``load_stream_from``, for all streams in one aggregate."""
+        beyond, at = F.col("head") < state.code, F.col("head") == state.code
+        return self.heads().select("stream_id", F.when(beyond, "invalid_revision").when(at, "empty").otherwise("rows").alias("outcome"))
+
+    def extent(self) -> DataFrame:
+        """last_position, events: one row, for any number of events."""
+        return self.events.agg(F.max("global_version").alias("last_position"), F.count(F.lit(1)).alias("events"))
+
     def exists(self, stream_id: str) -> bool:
         return not self.events.where(F.col("stream_id") == stream_id).limit(1).isEmpty()
 
     def last_position(self) -> int:
-        return self.events.agg(F.max("global_version")).first()[0] or 0
+        return self.extent().first()["last_position"] or 0
 
     def existing(self, streams: DataFrame) -> DataFrame:
         """The rows of ``streams`` (stream_id) whose stream exists; a semi-join."""

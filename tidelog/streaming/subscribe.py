@@ -14,7 +14,7 @@ import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,6 +38,19 @@ class Subscription:
     errors: list[str] = field(default_factory=list)
 
 
+def matches(sub: Subscription) -> Column:
+    """Whether a subscription wants an event: its types and prefixes; none are all."""
+    types = F.col("event_type").isin(list(sub.types)) if sub.types else F.lit(True)
+    wanted = any_of([F.col("stream_id").startswith(p) for p in sub.prefixes])
+    return (types if wanted is None else types & wanted) & (F.col("global_version") > sub.start)
+
+
+def fan_out(log: DataFrame, subscriptions: list[Subscription]) -> DataFrame:
+    """Each event once for each subscription that wants it, with the subscription's ``name``; the log is read once."""
+    names = F.array_compact(F.array(*(F.when(matches(s), s.name) for s in subscriptions)))
+    return log.withColumn("name", F.explode(names))
+
+
 class Subscriptions:
     """Subscriptions of one store; a name is active once."""
 
@@ -120,11 +133,7 @@ class Subscriptions:
         cursor = self._cursor(sub.name, before=batch)
         low, high = cursor["commit"], manifests.agg(F.max("number")).first()[0] or 0
         if high > low:
-            rows = self.store.read(upto=high, after=low).events.where(F.col("global_version") > sub.start)
-            if sub.types:
-                rows = rows.where(F.col("event_type").isin(list(sub.types)))
-            wanted = any_of([F.col("stream_id").startswith(p) for p in sub.prefixes])
-            rows = rows if wanted is None else rows.where(wanted)
+            rows = self.store.read(upto=high, after=low).events.where(matches(sub))
             try:
                 sub.handler(rows.orderBy("global_version"), batch)
             except SkippedEvent:
