@@ -9,6 +9,11 @@ def words(rng, n):
     return " ".join("".join(rng.choice("aeioustrn") for _ in range(rng.randint(2, 7))) for _ in range(n))
 
 
+def alternating(n, a, b):
+    """The Thue-Morse sequence in two symbols: what cancels out in hashes that are polynomials modulo a power of two."""
+    return [(a, b)[i.bit_count() % 2] for i in range(n)]
+
+
 @pytest.fixture(scope="session")
 def corpus():
     """(doc_id, text, lang, source): copies, near copies, shared passages, nulls, empty and very long texts, repeated rows."""
@@ -25,6 +30,9 @@ def corpus():
     texts += [words(rng, 30) + " " + passage + "\n" + words(rng, 20) for _ in range(6)]
     texts += ["", " \t\n", None, "one", "a b c", "Mail me: jo.doe@example.com or +1 (555) 123-4567, ip 10.0.0.1.", "é ß 日本  x", passage]
     texts += ["line one two\nline one two\n\nother line here\nline one two\n" * 3, words(rng, 9000), "Na " * 60]
+    for a, b in (("a", "b"), ("b", "a")):
+        texts += [f"one {''.join(alternating(n, a, b))} two" for n in (1024, 8192)]
+        texts.append(" ".join(alternating(2048, a, b)))
     rows = [(i, t, "en", f"s{i % 4}" if i % 9 else None) for i, t in enumerate(texts)]
     rows += [rows[2], rows[2]]  # repeated rows
     rows += [(None, texts[1], None, "s1")]

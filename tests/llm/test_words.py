@@ -43,3 +43,38 @@ def test_windows_hash_alike_only_if_equal(texts, width):
 def test_repeated_and_covered():
     assert repeated(np.array([3, 1, 3, 2])).tolist() == [True, False, True, False]
     assert covered(np.array([1, 2]), 2, 5).tolist() == [False, True, True, True, False]
+
+
+def test_two_symbols_do_not_cancel_out():
+    from tests.llm.conftest import alternating
+
+    hasher, windows = Hasher(), Windows()
+    for n in (512, 1024, 2048, 4096, 8192):
+        words = ["".join(alternating(n, a, b)) for a, b in ("ab", "ba")]
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        one, two = hasher(data, np.array([0, n + 1]), np.array([n, 2 * n + 1]))
+        assert one != two
+        for width in (16, 50, 512, 1024):
+            own = [windows.fold(np.array(alternating(n, a, b), np.uint64), width) for a, b in ((one, two), (two, one))]
+            sequences = {tuple(s[i : i + width]) for s in (alternating(n, 0, 1), alternating(n, 1, 0)) for i in range(n - width + 1)}
+            assert len(np.unique(np.concatenate(own))) == len(sequences)
+
+
+def test_long_ranges_hash_alike_in_pieces():
+    rng = np.random.default_rng(1)
+    data = rng.integers(33, 90, 5000).astype(np.uint8)
+    whole, pieces = Hasher(), Hasher()
+    pieces.AT_ONCE = 37
+    starts = np.array([0, 10, 400, 401, 2500])
+    ends = np.array([10, 400, 401, 2500, 5000])
+    assert whole(data, starts, ends).tolist() == pieces(data, starts, ends).tolist()
+
+
+def test_ranges_that_only_share_a_hash_are_told_apart():
+    from tidelog.llm.words import distinct
+
+    data = np.frombuffer(b"aa bb aa cc", np.uint8)
+    starts = np.array([0, 3, 6, 9])
+    where, which = distinct(lambda d, a, b: np.zeros(len(a), np.uint64), data, starts, starts + 2)
+    words = [data[starts[where[i]] : starts[where[i]] + 2].tobytes() for i in which]
+    assert words == [b"aa", b"bb", b"aa", b"cc"]

@@ -12,7 +12,7 @@ import json
 
 import numpy as np
 
-from tidelog.llm.words import Hasher, Words, ranges
+from tidelog.llm.words import Hasher, Words, distinct, ranges, same_bytes
 
 _NONE = np.int32(1 << 30)
 #: Pieces whose ids a task remembers; beyond, it starts anew. Bounds memory, not results.
@@ -143,8 +143,17 @@ class WordBpe:
 
     def forget(self) -> None:
         self.known = np.empty(0, np.uint64)  # hashes of pieces, in order
-        self.known_begin = self.known_count = np.empty(0, np.int64)
+        self.known_begin = self.known_count = self.known_at = self.known_size = np.empty(0, np.int64)
         self.known_ids = np.empty(0, np.int32)
+        self.known_text = np.empty(0, np.uint8)
+
+    def alone(self, text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, on end, and how many each has."""
+        size = ends - begins
+        own, stop = text[ranges(begins, size)], np.cumsum(size)
+        symbols = self.first[own]
+        symbols[stop - 1] = self.last[own[stop - 1]]
+        return self.merged(symbols, stop - size)
 
     def pieces(self, text: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of lower-cased pieces that cover text, on end, and how many each has; each distinct piece is merged once."""
@@ -158,19 +167,26 @@ class WordBpe:
         new[inside] = self.known[at[inside]] != keys[inside]
         if new.any():
             size = ends[where[new]] - begins[where[new]]
-            own = text[ranges(begins[where[new]], size)]
-            stop = np.cumsum(size)
-            symbols = self.first[own]
-            symbols[stop - 1] = self.last[own[stop - 1]]
-            ids, count = self.merged(symbols, stop - size)
+            ids, count = self.alone(text, begins[where[new]], ends[where[new]])
             begin = len(self.known_ids) + np.cumsum(count) - count
+            place = len(self.known_text) + np.cumsum(size) - size
             self.known_ids = np.concatenate((self.known_ids, ids))
+            self.known_text = np.concatenate((self.known_text, text[ranges(begins[where[new]], size)]))
             self.known_begin = np.insert(self.known_begin, at[new], begin)
             self.known_count = np.insert(self.known_count, at[new], count)
+            self.known_at = np.insert(self.known_at, at[new], place)
+            self.known_size = np.insert(self.known_size, at[new], size)
             self.known = np.insert(self.known, at[new], keys[new])
             at = np.searchsorted(self.known, keys)
         of = at[which]
-        return self.known_ids[ranges(self.known_begin[of], self.known_count[of])], self.known_count[of]
+        begin, count, ids = self.known_begin[of], self.known_count[of], self.known_ids
+        place = self.known_at[of]
+        odd = np.flatnonzero(~same_bytes(text, begins, ends, self.known_text, place, place + self.known_size[of]))
+        if len(odd):  # other bytes with a known hash
+            more, n = self.alone(text, begins[odd], ends[odd])
+            begin[odd], count[odd] = len(ids) + np.cumsum(n) - n, n
+            ids = np.concatenate((ids, more))
+        return ids[ranges(begin, count)], count
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words data[starts:ends], on end, and how many each has."""
@@ -214,7 +230,7 @@ class WordBpe:
         """Ids of each text with end_id after it, on end; and how many each text has. Each distinct word is encoded once."""
         w = Words(data, offsets)
         n = len(offsets) - 1
-        _, where, which = np.unique(hasher(data, w.starts, w.ends), return_index=True, return_inverse=True)
+        where, which = distinct(hasher, data, w.starts, w.ends)
         ids, count = self.words(data, w.starts[where], w.ends[where])
         begin = np.cumsum(count) - count
         of_word = count[which]

@@ -52,13 +52,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, windows:
     _, doc, keys = windows(words, w.first, width)
     cut = np.searchsorted(doc, np.arange(len(offsets)))
     count = np.diff(w.first)
-    total = windows.sums(words) if ((count > 0) & (count < width)).any() else None
     out = []
     for i, n in enumerate(count):
         if n >= width:
             out.append(np.unique(keys[cut[i] : cut[i + 1]]))
         elif n:  # the whole sequence; told from other lengths by the count
-            out.append(mix(windows.between(total, w.first[i : i + 1], w.first[i + 1 : i + 2]) + np.uint64(n)))
+            out.append(windows.whole(words[w.first[i] : w.first[i + 1]]))
         else:
             out.append(np.empty(0, np.uint64))
     return out

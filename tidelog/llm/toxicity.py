@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.batches import bounded_batches
-from tidelog.llm.words import Hasher, Words, chunks
+from tidelog.llm.words import Hasher, Words, chunks, distinct
 from tidelog.plans.scratch import keep
 
 #: Labelled documents to learn from, terms and context words to keep, distinct contexts that a term needs.
@@ -153,7 +153,7 @@ def hits_of(batch: pa.RecordBatch, lexicon: FuzzyLexicon, hasher: Hasher):  # no
     for part, data, offsets in chunks(batch):
         w = Words(data, offsets)
         raw = data.tobytes()
-        _, where, which = np.unique(hasher(data, w.starts, w.ends), return_index=True, return_inverse=True)
+        where, which = distinct(hasher, data, w.starts, w.ends)
         found = [lexicon.match(plain(raw[a:b].decode("utf-8", "replace"))) for a, b in zip(w.starts[where].tolist(), w.ends[where].tolist(), strict=True)]
         hit = np.array([f is not None for f in found], bool)
         if len(lexicon.sets) > lexicon.MAX_STATES:

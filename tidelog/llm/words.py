@@ -15,18 +15,10 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once: bounds the arrays below. A longer text is handled alone, whole.
 CHUNK_BYTES = 1_000_000
 
-_B = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base & (2**64 - 1), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (finaliser of splitmix64, public domain)."""
     x = x.astype(np.uint64, copy=True)
@@ -39,19 +31,72 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of byte ranges of one buffer, by differences of one running sum modulo 2**64."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.empty(0, np.uint64)
+    """64-bit hashes of byte ranges of one buffer: the sum of one random value for each (place in the range, byte), mixed.
+
+    A value depends on place and byte together, so no regular pattern of bytes cancels out, as it does in polynomials
+    modulo 2**64. Ranges are not empty.
+    """
+
+    #: Places whose values are looked up; those of later ones are computed. Bytes handled at once.
+    PLACES, AT_ONCE = 64, 1 << 22
+
+    def __init__(self, seed: int = 0x9E3779B97F4A7C15) -> None:
+        self.seed = np.uint64(seed)
+        self.table = self.values(np.arange(self.PLACES << 8))
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        return mix(codes.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + self.seed)
+
+    def sums(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, place: int = 0) -> np.ndarray:
+        head = np.cumsum(size) - size
+        at = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(head.astype(np.int32), size)
+        bytes_ = data[at + np.repeat(starts, size)] if len(data) >= 1 << 31 else data[at + np.repeat(starts.astype(np.int32), size)]
+        if place == 0 and size.max() <= self.PLACES:
+            value = self.table.take((at << 8) | bytes_)
+        else:
+            codes = ((at.astype(np.int64) + place) << 8) + bytes_
+            value = np.empty(len(codes), np.uint64)
+            short = codes < len(self.table)
+            value[short], value[~short] = self.table[codes[short]], self.values(codes[~short])
+        return np.add.reduceat(value, head)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(data)
-        if len(self.up) < n + 1:
-            self.up, self.down = powers(_B, n + 1), powers(pow(_B, -1, 2**64), n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=total[1:])
-        own = (total[ends] - total[starts]) * self.down[starts]
-        return mix(own + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        size = ends - starts
+        out = np.zeros(len(size), np.uint64)
+        until, i = np.cumsum(size), 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(until, until[i] - size[i] + self.AT_ONCE, side="right")))
+            if j == i + 1:  # maybe a long range: in pieces
+                for k in range(0, int(size[i]), self.AT_ONCE):
+                    out[i:j] += self.sums(data, starts[i:j] + k, np.minimum(size[i:j] - k, self.AT_ONCE), k)
+            else:
+                out[i:j] = self.sums(data, starts[i:j], size[i:j])
+            i = j
+        return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether range i of data is equal to range i of other."""
+    size = ends - starts
+    out = size == other_ends - other_starts
+    fit = np.flatnonzero(out)
+    if len(fit):
+        wrong = np.flatnonzero(data[ranges(starts[fit], size[fit])] != other[ranges(other_starts[fit], size[fit])])
+        if len(wrong):
+            out[fit[np.searchsorted(np.cumsum(size[fit]), wrong, side="right")]] = False
+    return out
+
+
+def distinct(hasher: Hasher, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges that stand for all: their indexes, and which of them each range is equal to. Equal hashes are compared byte
+    by byte; a range that only shares its hash stands for itself."""
+    _, where, which = np.unique(hasher(data, starts, ends), return_index=True, return_inverse=True)
+    rep = where[which]
+    other = np.flatnonzero(~same_bytes(data, starts, ends, data, starts[rep], ends[rep]))
+    if len(other):
+        which[other] = len(where) + np.arange(len(other))
+        where = np.concatenate((where, other))
+    return where, which
 
 
 class Words:
@@ -111,28 +156,43 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Hashes of runs of ``width`` words inside one text, from the hashes of the words."""
-
-    def __init__(self, base: int = 0xC2B2AE3D27D4EB4F) -> None:
-        self.base, self.up, self.down = base | 1, np.empty(0, np.uint64), np.empty(0, np.uint64)
-
-    def sums(self, words: np.ndarray) -> np.ndarray:
-        n = len(words)
-        if len(self.up) < n + 1:
-            self.up, self.down = powers(self.base, n + 1), powers(pow(self.base, -1, 2**64), n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * self.up[:n], out=total[1:])
-        return total
-
-    def between(self, total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of words starts:ends, for sums of all words."""
-        return mix((total[ends] - total[starts]) * self.down[starts])
+    """Hashes of runs of ``width`` words inside one text, from the hashes of the words: neighbours are combined in pairs, pairs in
+    fours and so on, and each step is mixed, so runs of few different words are told apart as well as any."""
+
+    _A = np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, seed: int = 0) -> None:
+        self.seed = np.uint64(seed)
+
+    def fold(self, words: np.ndarray, width: int) -> np.ndarray:
+        """The hash of words[i : i + width] for each i."""
+        n = len(words) - width + 1
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        level = mix(words + self.seed) if self.seed else words
+        out, done, span = None, 0, 1
+        while True:
+            if width & span:
+                part = level[done : done + n]
+                out = part if out is None else mix(out * self._A + part)
+                done += span
+            if done == width:
+                return out
+            level = mix(level[:-span] * self._A + level[span:])
+            span *= 2
+
+    def whole(self, words: np.ndarray) -> np.ndarray:
+        """One hash (an array of one) of all words, told from those of other counts."""
+        out = np.full(1, len(words), np.uint64)
+        for i in range(len(words)):
+            out = mix(out * self._A + words[i : i + 1] + self.seed)
+        return out
 
     def __call__(self, words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each window: its first word, the text it is in, its hash."""
         count = np.maximum(np.diff(first) - width + 1, 0)
         at = ranges(first[:-1], count)
-        return at, np.repeat(np.arange(len(count)), count), self.between(self.sums(words), at, at + width)
+        return at, np.repeat(np.arange(len(count)), count), self.fold(words, width)[at]
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
