@@ -106,3 +106,84 @@ def test_redaction_keeps_all_else(docs, corpus, empty):
     assert mail == "Mail me: <EMAIL> or <PHONE>, ip <IP>."
     same = {r[0]: r[1] for r in corpus if not brute(r[1])}
     assert all(r["text"] == same[r["doc_id"]] for r in rows if r["doc_id"] in same and r["doc_id"] is not None)
+
+
+def fixed_point(edges, seeds, least, accepted, support):
+    """Trusted patterns by the definition: whole sets, round after round."""
+    import math
+    from collections import defaultdict
+
+    of_pattern, of_what = defaultdict(set), defaultdict(set)
+    for p, w in edges:
+        of_pattern[p].add(w)
+        of_what[w].add(p)
+    known = set(seeds)
+    while True:
+        scores = {}
+        for p, members in of_pattern.items():
+            for kind in {k for _, k in known}:
+                n = sum((w, kind) in known for w in members)
+                if n >= least and n / len(members) >= support:
+                    scores[p, kind] = n / len(members)
+        new = set()
+        for w, patterns in of_what.items():
+            for kind in {k for _, k in scores}:
+                own = [scores[p, kind] for p in patterns if (p, kind) in scores]
+                belief = 1 - math.exp(sum(math.log1p(-min(x, 0.999)) for x in own))
+                if own and round(belief, 9) >= accepted:
+                    new.add((w, kind))
+        if new <= known:
+            return {(p, k): x for (p, k), x in scores.items() if x >= accepted}
+        known |= new
+
+
+def test_bootstrapping_equals_its_definition(spark):
+    import random
+
+    from tidelog.llm.pii import bootstrapped
+
+    most_rounds = 0
+    for seed in range(4):
+        rng = random.Random(seed)
+        edges, seeds = set(), set()
+        for group in range(6):
+            whats = [f"w{group}.{i}" for i in range(14)]
+            for j in range(7):
+                edges |= {(f"p{group}.{j}", w) for w in rng.sample(whats, rng.randint(2, 12))}
+                edges |= {(f"p{group}.{j}", f"w{rng.randrange(6)}.{rng.randrange(14)}") for _ in range(rng.randint(0, 2))}
+            seeds |= {(w, group % 3) for w in rng.sample(whats, rng.randint(5, 9))}
+        kind = dict(seeds)
+        rows = [(kind.get(w), w, p) for p, w in edges for _ in range(rng.randint(1, 2))]
+        found = {(r["pattern"], r["kind"]): r["score"] for r in bootstrapped(spark.createDataFrame(rows, "kind int, what string, pattern string"), 3, 0.8, 0.5).collect()}
+        wanted = fixed_point(edges, seeds, 3, 0.8, 0.5)
+        assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-9 for k in found)
+        most_rounds += len(wanted)
+    assert most_rounds > 5
+
+
+def test_unseen_formats_are_found_and_decoys_are_not(make):
+    """Formats without a base pattern, in contexts that seeds induce; a second round goes on from what the first found."""
+    rows = [(i, f"w{i} call me at +1 (555) 123-{4000 + i} n{i}", "en", "s") for i in range(60)]
+    rows += [(100 + i, f"v{i} please email john.d{i}@mail{i}.com x{i}", "en", "s") for i in range(20)]
+    odd = {
+        300: ("u call me at 020 7946 0018 soon", "phone", "020 7946 0018"), 301: ("u call me at (030) 901820 now", "phone", "(030) 901820"), 302: ("so please email jane @ mail9.com today", "email", "jane @ mail9.com"),
+        303: ("so please email jim(at)mail8.com today", "email", "jim(at)mail8.com"), 304: ("u call me at tel 0151-12345-6 ok", None, ""), 305: ("u call me at 7946.0018.22, ok", "phone", "7946.0018.22"),
+    }
+    decoys = ["commit e7fbfec6a80404dc513b99d3fdbf2a6e53400638 is bad", "order no 4111 1111 1111 1112 came", "order 100200300400 at noon", "in the years 1999-2001 it was", "call me at e7fbfec6a80404dc513b99d3fdbf2a6e53400638 if so"]
+    # the second round: numbers found by the first are the only ones known of "fax"
+    second = [(400 + i, f"a{i} call me at 0{i}20 7946 00{i} z{i}", "en", "s") for i in range(1, 10)] + [(500 + i, f"b{i} fax 0{i}20 7946 00{i} y{i}", "en", "s") for i in range(1, 10)] + [(600, "c fax 0930 123 456 r", "en", "s")]
+    table = make(rows + [(i, t, "en", "s") for i, (t, _, _) in odd.items()] + [(900 + i, t, "en", "s") for i, t in enumerate(decoys)] + second)
+    out = {r["doc_id"]: r for r in find(table).collect()}
+    text = {**{i: t for i, (t, _, _) in odd.items()}, 600: second[-1][1]}
+    got = lambda i: [(("email", "ip", "card", "phone")[s["kind"]], text[i][s["start"] : s["end"]]) for s in out[i]["added"]]
+    for i, (_, kind, what) in odd.items():
+        assert got(i) == ([(kind, what)] if kind else []), i
+    assert got(600) == [("phone", "0930 123 456")]
+    assert all(not out[900 + i]["added"] for i in range(len(decoys)))
+    assert all(not out[r[0]]["added"] and len(out[r[0]]["base"]) == 1 for r in rows)
+
+
+def test_a_text_of_a_seed_is_one_everywhere(make):
+    rows = [(1, "my number: +1 (555) 123-4567.", "en", "s"), (2, "both +1 (555) 123-4567 10.200.30.40 here", "en", "s")]
+    out = {r["doc_id"]: r for r in find(make(rows)).collect()}
+    assert [s["kind"] for s in out[2]["base"]] == [1] and [(s["start"], s["end"], s["kind"]) for s in out[2]["added"]] == [(5, 22, 3)]

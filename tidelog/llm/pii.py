@@ -1,15 +1,20 @@
 """Personal data: four fixed patterns, and contextual extraction bootstrapped from what they find.
 
-Base spans (email, ip, card, phone) seed the method. Every token that looks like an identifier, seed or not, and every run of
-adjacent groups of digits, is an instance
-with the lexical patterns around it (two words before; the word before and the word after). Patterns and
-instances form a bipartite graph that Spark scores in rounds: a pattern scores the share of its distinct instances that
-are known (seeds count 1, others their score so far), an instance the noisy-or of its patterns. Patterns that end above
-``ACCEPTED`` with ``MIN_SEEDS`` distinct seeds or more turn their other instances into spans of the seeds' kind.
+Base spans (email, ip, card, phone) are the seeds. Every token that looks like an identifier, seed or not, every run of adjacent
+groups of digits, and every address written apart (``jo @ mail.com``, ``jo(at)mail.com``) is an instance. It induces lexical patterns: the two
+words before, the word before, the word after, and the words on both sides, each with what the instance is made of (digits and signs,
+an address, or letters with digits), so that a hash after "call" is no phone. A label in the token (``tel:555...``) is its word before.
+
+Patterns and instances form a bipartite graph that Spark scores in rounds, to the fixed point. A pattern scores its precision for
+a kind: the share of its distinct instances that are known, of which there have to be ``MIN_SEEDS``. An instance is known if it is a
+seed, or if the noisy-or of the scores (``SUPPORT`` or more) of its patterns reaches ``ACCEPTED``; known instances are seeds of the next round.
+What is known only grows, so the rounds end. Patterns that end at ``ACCEPTED`` or more turn their other instances into spans
+of that kind, as does every instance whose text is that of a seed elsewhere.
 
 Offsets are code points, ends are exclusive. A null or empty text has no spans. Base spans stay as they are, also where
-they overlap across kinds; added spans never touch base ones. Rows that share id and text get the same spans; an empty
-table gives no rows. Texts are searched whole in linear time.
+they overlap across kinds; added spans never touch base ones. An instance of several kinds gets that of the highest score, among equals the
+first listed. Rows that share id and text get the same spans; an empty table gives no rows. Other columns are not carried by ``find``,
+and kept whatever their names by ``redact``. Texts are searched whole in linear time.
 """
 
 from __future__ import annotations
@@ -23,11 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.batches import bounded_batches
-from tidelog.plans.scratch import drop, keep
+from tidelog.plans.scratch import keep
+from tidelog.plans.skew import spread_join
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds that a pattern needs, the least share of known instances, and rounds of scoring.
-MIN_SEEDS, ACCEPTED, ROUNDS = 5, 0.9, 3
+#: Distinct known instances that a pattern needs, the score from which it is trusted, and from which it counts for an instance.
+MIN_SEEDS, ACCEPTED, SUPPORT = 5, 0.9, 0.6
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,6 +45,8 @@ _TOKEN = re.compile(r"\S+")
 #: Part of an identifier written in groups, and the most digits that one has (those of a card).
 _GROUP, MAX_DIGITS = re.compile(r"[0-9().+-]+"), 19
 _TRIM = ".,;:!?\"'()[]{}<>|=*#&%$"
+#: An @ written apart or spelt, and a label in front of an identifier in one token.
+_AT, _LABEL = re.compile(r"[(\[{]at[)\]}]|@"), re.compile(r"[^\W\d_]{2,}[:=]+(?=.)")
 
 Span = tuple[int, int, int]
 
@@ -82,8 +90,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 def looks_identifying(token: str) -> bool:
-    """A token worth asking about: four digits or more, or an @ inside."""
-    return len(_DIGIT.findall(token)) >= 4 or "@" in token[1:-1]
+    """A token worth asking about: four digits or more, or an @ (or ``(at)``) inside."""
+    return len(_DIGIT.findall(token)) >= 4 or bool(_AT.search(token, 1, len(token) - 1))
+
+
+def made_of(token: str) -> str:
+    """What an identifier is made of: an address (m), digits and signs (d), or letters too (x)."""
+    return "m" if _AT.search(token) else "x" if any(c.isalpha() for c in token) else "d"
 
 
 def key(what: str, most: int) -> str:
@@ -112,17 +125,28 @@ def grouped(text: str, tokens: list[tuple[int, int]], first: int, taken: set[int
     return last
 
 
+def apart(text: str, tokens: list[tuple[int, int]], i: int, taken: set[int]) -> bool:
+    """Whether tokens i, i + 1 and i + 2 are an address written apart, on one line."""
+    if i + 2 >= len(tokens) or taken & {i, i + 1, i + 2}:
+        return False
+    if not _AT.fullmatch(text[slice(*tokens[i + 1])]) or text[tokens[i][1] : tokens[i + 2][0]].count("\n"):
+        return False
+    return text[tokens[i][1] - 1] in _LOCAL and bool(_DOMAIN.match(text, tokens[i + 2][0]))
+
+
 def instances(text: str, spans: list[Span]) -> list[tuple[int, int, int | None, str, list[str]]]:
     """(start, end, kind of a seed or None, what it is, its patterns)."""
-    if not spans and "@" not in text and not _DIGIT.search(text):
+    if not spans and "@" not in text and not _DIGIT.search(text) and not _AT.search(text):
         return []
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     starts, out, seeds = [a for a, _ in tokens], [], sorted(spans)
     word = lambda i: key(text[tokens[i][0] : tokens[i][1]].lower().strip(_TRIM), 40) if 0 <= i < len(tokens) else ""
 
-    def patterns(first: int, last: int) -> list[str]:
-        a, b, c = word(first - 2), word(first - 1), word(last + 1)
-        return [p for p, full in ((f"{a} {b} _", a and b), (f"{b} _ {c}", b and c)) if full]
+    def patterns(start: int, end: int, first: int, last: int) -> list[str]:
+        label = key(text[tokens[first][0] : start].lower().strip(_TRIM), 40)
+        a, b = (word(first - 1), label) if label else (word(first - 2), word(first - 1))
+        c, kind = word(last + 1), made_of(text[start:end])
+        return [f"{p} {kind}" for p, full in ((f"{a} {b} _", a and b), (f"{b} _", b), (f"_ {c}", c), (f"{b} _ {c}", b and c)) if full]
 
     import bisect
 
@@ -130,21 +154,22 @@ def instances(text: str, spans: list[Span]) -> list[tuple[int, int, int | None,
     for start, kind, end in seeds:
         first, last = bisect.bisect_right(starts, start) - 1, bisect.bisect_left(starts, end) - 1
         taken.update(range(first, last + 1))
-        out.append((start, end, kind, key(text[start:end].lower(), 80), patterns(first, last)))
+        out.append((start, end, kind, key(text[start:end].lower(), 80), patterns(start, end, first, last)))
     last = -1
     for i in range(len(tokens)):
         if i in taken or i <= last:
             continue
-        last = grouped(text, tokens, i, taken)
+        last = i + 2 if apart(text, tokens, i, taken) else grouped(text, tokens, i, taken)
         start, end = tokens[i][0], tokens[last][1]
-        token = text[start:end]
+        label = _LABEL.match(text, start, end)
+        token = text[label.end() if label else start : end]
         core = token.strip(_TRIM)
         if core and looks_identifying(core):
-            a = start + token.index(core)
+            a = end - len(token) + token.index(core)
             b = a + len(core)
             if a > start and text[a - 1] == "(" and core.count(")") > core.count("("):
                 a -= 1
-            out.append((a, b, None, key(text[a:b].lower(), 80), patterns(i, last)))
+            out.append((a, b, None, key(text[a:b].lower(), 80), patterns(a, b, i, last)))
     return out
 
 
@@ -164,22 +189,28 @@ def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(base, base_type), pa.array(seen, seen_type)], names=["doc_id", "fp", "base", "seen"])
 
 
-def accepted_patterns(seen: DataFrame, min_seeds: int = MIN_SEEDS, accepted: float = ACCEPTED, rounds: int = ROUNDS) -> DataFrame:
-    """seen: kind, what, pattern (one row an occurrence) to pattern, kind, score."""
-    edges = keep(seen.select("pattern", "kind", "what").distinct(), "graph")
-    total = edges.groupBy("pattern").agg(F.countDistinct("what").alias("n"))
-    seeded = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds)
-    seeded = keep(seeded.join(total, "pattern"), "seeded")
-    known = edges.where("kind is not null").select("what").distinct()
-    open_ = keep(edges.where("kind is null").join(known, "what", "left_anti").select("pattern", "what").join(seeded.select("pattern", "kind"), "pattern"), "open")
-    scores = keep(seeded.withColumn("score", F.col("seeds") / F.col("n")), "scores")
-    for _ in range(rounds):
-        belief = open_.join(scores.select("pattern", "kind", "score"), ["pattern", "kind"]).groupBy("what", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("belief"))
-        added = open_.join(belief, ["what", "kind"]).groupBy("pattern", "kind").agg(F.sum("belief").alias("added"))
-        new = seeded.join(added, ["pattern", "kind"], "left").withColumn("score", (F.col("seeds") + F.coalesce("added", F.lit(0.0))) / F.col("n")).drop("added")
-        old, scores = scores, keep(new, "scores")
-        drop(old)
-    return scores.where(F.col("score") >= accepted).select("pattern", "kind", "score")
+def bootstrapped(seen: DataFrame, min_seeds: int = MIN_SEEDS, accepted: float = ACCEPTED, support: float = SUPPORT) -> DataFrame:
+    """seen: kind, what, pattern (one row an occurrence) to the trusted patterns: pattern, kind, score.
+
+    Only patterns with ``min_seeds`` distinct instances can be trusted, so the graph is cut down to these first. Joins
+    deal the edges of a pattern or instance that has very many over several tasks.
+    """
+    edges = seen.select("pattern", "what").distinct()
+    sizes = keep(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds), "sizes")
+    edges = keep(spread_join(edges, sizes.withColumn("w", F.col("n")).drop("n"), ["pattern"], "w", F.col("what"), "left_semi"), "graph")
+    degrees = keep(edges.groupBy("what").agg(F.count(F.lit(1)).alias("w")), "degrees")
+    known = keep(seen.where("kind is not null").select("what", "kind").distinct(), "known")
+    while True:
+        hits = spread_join(edges, known.join(degrees, "what"), ["what"], "w", F.col("pattern"))
+        found = hits.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= min_seeds)
+        scores = found.join(sizes, "pattern").select("pattern", "kind", (F.col("found") / F.col("n")).alias("score"), F.col("n").alias("w"))
+        scores = keep(scores.where(F.col("score") >= support), "scores")
+        doubt = F.sum(F.log1p(-F.least("score", F.lit(0.999))))
+        belief = spread_join(edges, scores, ["pattern"], "w", F.col("what")).groupBy("what", "kind").agg(F.round(1 - F.exp(doubt), 9).alias("belief"))
+        new = keep(belief.where(F.col("belief") >= accepted).select("what", "kind").join(known, ["what", "kind"], "left_anti"), "new")
+        if new.isEmpty():
+            return scores.where(F.col("score") >= accepted).select("pattern", "kind", "score")
+        known = keep(known.unionByName(new), "known")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits: float) -> DataFrame:
@@ -188,9 +219,18 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits:
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     scan = keep(slim.mapInArrow(scanned, f"doc_id {kind}, fp long, {_SCAN}"), "scan")
-    rows = scan.select("doc_id", "fp", F.explode("seen").alias("s")).select("doc_id", "fp", "s.start", "s.end", "s.kind", "s.what", F.explode("s.patterns").alias("pattern"))
-    good = accepted_patterns(rows, **limits).select("pattern", F.col("kind").alias("as_kind"), "score")
-    new = rows.where("kind is null").join(good, "pattern").groupBy("doc_id", "fp", "start", "end").agg(F.max_by("as_kind", F.struct("score", -F.col("as_kind"))).alias("kind"))
+    found = scan.select("doc_id", "fp", F.explode("seen").alias("s")).select("doc_id", "fp", "s.start", "s.end", "s.kind", "s.what", "s.patterns")
+    rows = found.select("kind", "what", F.explode("patterns").alias("pattern"))
+    good = bootstrapped(rows, **limits).select("pattern", F.col("kind").alias("as_kind"), "score")
+    seeds = found.where("kind is not null").groupBy("what", F.col("kind").alias("as_kind")).agg(F.lit(1.0).alias("score"))
+    open_ = found.where("kind is null")
+    place, shown = ["doc_id", "fp", "start", "end"], F.struct("doc_id", "fp", "start")
+    in_context = open_.select(*place, F.explode("patterns").alias("pattern"))
+    counted = lambda df, by: df.groupBy(by).agg(F.count(F.lit(1)).alias("w"))
+    in_pattern = spread_join(in_context, keep(good.join(counted(in_context, "pattern"), "pattern"), "good"), ["pattern"], "w", shown)
+    as_seed = spread_join(open_, keep(seeds.join(counted(open_, "what"), "what"), "seeds"), ["what"], "w", shown)
+    best = F.max(F.struct("score", (-F.col("as_kind")).alias("first")))
+    new = in_pattern.select(*place, "as_kind", "score").unionByName(as_seed.select(*place, "as_kind", "score")).groupBy(*place).agg((-best["first"]).cast("int").alias("kind"))
     added = keep(new.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added")), "added").withColumnRenamed("fp", "__fp").withColumnRenamed("doc_id", "__id")
     joined = scan.drop("seen").join(added, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")), "left")
     none = F.array().cast("array<struct<start: long, kind: int, end: long>>")
