@@ -3,7 +3,10 @@ from collections import defaultdict
 
 import pytest
 
-from tidelog.llm.mixing import mix, mix_documents
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidelog.llm.mixing import BITS, GOLDEN, first_multiple, mix, mix_documents, next_point
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -78,3 +81,64 @@ def test_mixed_documents(docs, corpus, empty):
         taken[r["source"]] += r["taken"]
     assert {s: n for s, n in taken.items() if n} == dict(words)
     assert mix_documents(empty).count() == 0 and mix(empty).documents.count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 400), st.integers(0, 399), st.integers(0, 399))
+def test_first_multiple(m, a, x, y):
+    low, high = sorted((x % m, y % m))
+    wanted = next((k for k in range(m) if low <= a * k % m <= high), None)
+    assert first_multiple(a % m, m, low, high) == wanted
+
+
+def test_next_points_are_those_of_the_sequence():
+    point = lambda k: (k * GOLDEN % 2**64) >> (64 - BITS)
+    for low, size, after in ((0, 2**52, 5), (2**61, 2**50, 1000), (2**62 - 2**51, 2**51, 77), (12345, 2**53, 0)):
+        found = next_point(after, low, low + size)
+        assert found == next(k for k in range(after, after + 10**6) if low <= point(k) < low + size)
+
+
+def test_the_schedule_decides(make):
+    """Slots are unique and are those of the sequence; prefixes are near the weights; another sequence gives another mix."""
+    import math
+
+    rows = [(i, " ".join(f"w{i}.{k}" for k in range(37 + i % 90)), "en", "abcdefg"[min(i % 12, 6)]) for i in range(400)]
+    out = {}
+    for golden in (GOLDEN, 0xB504F333F9DE6485):
+        mixed = mix(make(rows), block_words=8, golden=golden)
+        schedule = sorted((r["slot"], r["source_rank"], r["rank"]) for r in mixed.schedule.collect())
+        slots = [s for s, _, _ in schedule]
+        assert len(set(slots)) == len(slots)
+        seen = defaultdict(int)
+        for _, source, rank in schedule:  # a source's blocks come in order
+            assert rank == seen[source]
+            seen[source] += 1
+        targets_ = {r["source"]: r["target"] for r in mixed.documents.select("source", "target").distinct().collect()}
+        share = {i: targets_[s] / sum(targets_.values()) for i, s in enumerate(sorted(targets_))}
+        count = defaultdict(int)
+        for n, (_, source, _) in enumerate(schedule, 1):
+            count[source] += 1
+            if golden == GOLDEN and n <= 0.9 * len(schedule):
+                assert all(abs(count[s] - n * p) <= 2 + math.log(n + 1) for s, p in share.items())
+        out[golden] = {(r["doc_id"], r["taken"], r["first_slot"]) for r in mixed.documents.collect()}
+        assert all((t > 0) == (f is not None) for _, t, f in out[golden])
+    one, two = out.values()
+    assert one != two and {x[:2] for x in one} == {x[:2] for x in two}  # the same words, in another order
+
+
+def test_mixed_documents_come_in_the_order_of_the_schedule(make):
+    rows = [(i, " ".join(["w"] * (5 + i % 30)), "en", "ab"[i % 2]) for i in range(60)]
+    table = make(rows)
+    first = {r["doc_id"]: r["first_slot"] for r in mix(table, block_words=16).documents.collect()}
+    order = [r["doc_id"] for r in mix_documents(table, block_words=16).collect()]
+    seen = list(dict.fromkeys(order))
+    assert [first[i] for i in seen] == sorted(first[i] for i in seen) and set(seen) == {i for i, s in first.items() if s is not None}
+
+
+def test_null_and_repeated_ids(make):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, f"{text} {i % 7}", "en", "s") for i in range(60)] + [(5, text, "en", None)] * 20
+    mixed = mix(make(rows), block_words=16).documents.collect()
+    taken = sum(r["taken"] for r in mixed)
+    assert len(mixed) == 80 and 0 <= sum(r["size"] for r in mixed) - taken < 2  # less than a word a source
+    assert sum(len(r["text"].split()) for r in mix_documents(make(rows), block_words=16).collect()) == taken

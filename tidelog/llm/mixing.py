@@ -1,24 +1,29 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot k of the schedule takes the point frac(k * golden ratio) through the cumulative target shares, which
-names a source; the slots of a source are ranked, and rank r takes block r of the source: its documents,
-laid end to end in a shuffled order that depends on the seed alone, cut into blocks of equal tokens (words
-here) and repeated while the schedule asks for more. Golden-ratio points have discrepancy O(log N / N), so every
-prefix of the schedule is near the target weights, not just the whole.
+Slot k of the schedule takes point k of a golden-ratio sequence (k times the golden ratio modulo 1, in 64-bit integers) through the cumulative
+target shares, which names a source; the slots of a source are ranked, and rank r takes block r of the source: its
+documents, laid end to end in a shuffled order that depends on the seed alone, cut into blocks of equal tokens (words
+here) and repeated while the schedule asks for more. A source takes slots until its target is reached and passes the later ones over; one
+that is short of slots when the sizes are used up goes on along the same sequence, to its next points there, which are found by the
+recursion of Euclid's algorithm and not by trying. So a slot has one source, its number is the place of its block in the mix, and as
+golden-ratio points have discrepancy O(log N / N), every prefix of the schedule is near the target weights.
 
 Sizes: words of a text (null or empty text: 0; such documents are in the result and take nothing). A null source is a
-source of its own, last in order. Documents of equal id and size are told apart by a rank, so repeated rows
-each have a place. The last block of a source ends at its target, so each source's words taken are its target but for
-a fraction of a word. An empty table gives an empty mix.
+source of its own, last in order. Documents that share id, size and text are interchangeable; repeated rows each have a place. The last block
+of a source ends at its target, so each source's words taken are its target but for a fraction of a word. Texts of any length are laid
+out whole, over as many blocks as they need. Columns of other names are not read by ``mix`` and are kept by ``mix_documents``. An empty table gives an
+empty mix.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.batches import bounded_batches
@@ -31,7 +36,8 @@ WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 #: Words of a block.
 BLOCK_WORDS = 2048
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: The golden ratio's fraction in 64-bit integers: point k is k * GOLDEN modulo 2**64, of which the upper BITS are used.
+GOLDEN, BITS = 0x9E3779B97F4A7C15, 62
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
@@ -64,55 +70,99 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epoch
 
 
 class Mix:
-    """documents: doc_id, source, size, source_size, target, taken, one row for each row of the input;
-    schedule: slot, source_rank, rank; fragments: what each slot holds, as word ranges of documents."""
-
-    def __init__(self, documents: DataFrame, schedule: DataFrame, fragments: DataFrame, block_words: int) -> None:
-        self.documents, self.schedule, self.fragments, self.block_words = documents, schedule, fragments, block_words
-
-
-def schedule_slots(spark: SparkSession, sources: DataFrame, n_sources: int, total: int, block_words: int) -> DataFrame:
+    """documents: doc_id, source, size, source_size, target, taken, first_slot (null: not taken), one row for each row of the input;
+    schedule: slot, source_rank, rank; fragments: what each slot holds, as word ranges of documents; copies: row, epoch, words
+    and slot of each time a document is taken."""
+
+    def __init__(self, documents: DataFrame, schedule: DataFrame, fragments: DataFrame, copies: DataFrame, block_words: int) -> None:
+        self.documents, self.schedule, self.fragments, self.copies, self.block_words = documents, schedule, fragments, copies, block_words
+
+
+def first_multiple(a: int, m: int, low: int, high: int) -> int | None:
+    """The least x >= 0 with low <= a * x mod m <= high (0 <= low <= high < m), in O(log m) steps."""
+    if low == 0:
+        return 0
+    a %= m
+    if a == 0:
+        return None
+    x = -(-low // a)
+    if a * x <= high:
+        return x
+    y = first_multiple(m, a, -high % a, -low % a)
+    return None if y is None else -(-(low + m * y) // a)
+
+
+def next_point(after: int, low: int, high: int, golden: int = GOLDEN) -> int:
+    """The first slot from ``after`` on whose point lies in [low, high), in units of the upper BITS."""
+    m, shift = 1 << 64, 64 - BITS
+    own = golden * after % m
+    lo, hi = ((low << shift) - own) % m, ((high << shift) - 1 - own) % m
+    found = 0 if lo > hi else first_multiple(golden, m, lo, hi)  # a range that wraps holds the point itself
+    if found is None:
+        raise ValueError("the sequence never comes to this range")
+    return after + found
+
+
+def schedule_slots(spark: SparkSession, sources: DataFrame, n_sources: int, total: int, block_words: int, golden: int = GOLDEN) -> DataFrame:
     """slot, source_rank, rank: which block of its repeated line each slot takes.
 
     The cumulative shares are cut at the borders of a grid, so that a point is looked up by equality on its
-    cell; a cell holds few sources on average, whatever their sizes. Slots of a source beyond its target are
-    left out; a source that is short of slots at the end gets closing slots.
+    cell; a cell holds few sources on average, whatever their sizes.
     """
     slots = -(-total // block_words)
-    grid = max(4096, 4 * n_sources)
-    ahead = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, -1)  # one row a source
-    share = F.col("target") / F.lit(float(max(total, 1)))
-    table = sources.select("source_rank", "target", share.alias("share")).withColumn("low", F.coalesce(F.sum("share").over(ahead), F.lit(0.0)))
-    table = table.where("target > 0").withColumn("high", F.coalesce(F.lead("low").over(Window.orderBy("source_rank")), F.lit(2.0)))
-    cell = lambda c: F.least(F.floor(c * grid), F.lit(grid - 1))
-    cells = table.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
-    points = spark.range(slots).withColumn("point", F.expr(f"id * {GOLDEN!r}D - floor(id * {GOLDEN!r}D)")).withColumn("cell", cell(F.col("point")))
-    named = points.join(cells, "cell").where("point >= low and point < high").select(F.col("id").alias("slot"), "source_rank")
+    grid = max(12, (4 * n_sources).bit_length())
+    units = sources.select("source_rank", "target", F.ceil("target").cast("long").alias("units"))
+    whole = float(units.agg(F.sum("units")).first()[0] or 1)
+    ahead = rank_within(units, [], [F.col("source_rank")], max(1, -(-n_sources // 20_000)), F.expr("source_rank div 20000"), "ahead", weight="units")
+    border = lambda c: F.floor(c / F.lit(whole) * F.lit(float(1 << BITS))).cast("long")
+    table = ahead.select("source_rank", "target", border(F.col("ahead")).alias("low"), border(F.col("ahead") + F.col("units")).alias("high"))
+    table = keep(table.where("low < high"), "shares")
+    cells = table.withColumn("cell", F.explode(F.sequence(F.shiftright("low", BITS - grid), F.shiftright(F.col("high") - 1, BITS - grid))))
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(0).to_numpy()
+            point = ((slot.astype(np.uint64) * np.uint64(golden)) >> np.uint64(64 - BITS)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(point), pa.array(point >> (BITS - grid))], names=["slot", "point", "cell"])
+
+    named = spark.range(slots).mapInArrow(points, "slot long, point long, cell long").join(cells, "cell").where("point >= low and point < high").select("slot", "source_rank")
     blocks = blocks_for(slots)
-    ranked = rank_within(named, ["source_rank"], [F.col("slot")], blocks, F.expr(f"slot div {max(1, -(-slots // blocks))}"), "rank")
-    need = sources.select("source_rank", F.ceil(F.floor("target") / F.lit(block_words)).alias("need"))
-    main = ranked.join(need, "source_rank").where("rank < need").select("slot", "source_rank", "rank")
+    ranked = keep(rank_within(named, ["source_rank"], [F.col("slot")], blocks, F.expr(f"slot div {max(1, -(-slots // blocks))}"), "rank"), "slots")
+    need = table.select("source_rank", "low", "high", F.ceil(F.floor("target") / F.lit(block_words)).alias("need"))
+    main = ranked.join(need.select("source_rank", "need"), "source_rank").where("rank < need").select("slot", "source_rank", "rank")
     have = ranked.groupBy("source_rank").agg(F.count(F.lit(1)).alias("have"))
-    short = need.join(have, "source_rank", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
-    closing = short.select(F.lit(slots).alias("slot"), "source_rank", F.explode(F.expr("sequence(have, need - 1)")).alias("rank"))
-    return main.unionByName(closing)
+    short = need.join(have, "source_rank", "left").withColumn("have", F.coalesce("have", F.lit(0)).cast("long")).where("have < need")
 
+    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():  # few points a source: the discrepancy bounds what is missing
+                slot = slots - 1
+                for rank in range(int(r.have), int(r.need)):
+                    slot = next_point(slot + 1, int(r.low), int(r.high), golden)
+                    out.append((slot, r.source_rank, rank))
+            yield pd.DataFrame(out, columns=["slot", "source_rank", "rank"], dtype="int64")
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Mix:
+    return main.unionByName(short.mapInPandas(further, "slot long, source_rank long, rank long"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None, golden: int = GOLDEN) -> Mix:
+    """``row``: a column that tells rows apart, to find them again by ``copies``; one is made if there is none."""
     spark: SparkSession = docs.sparkSession
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    sized = keep(with_size(slim).drop("text"), "sizes")
+    own = F.monotonically_increasing_id() if row is None else F.col(row)
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"), own.alias("row"))
+    sized = keep(with_size(slim.withColumn("fp", F.xxhash64("text"))).drop("text"), "sizes")
     rows = sized.count()
     sources = keep(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs), "targets")
     total, n_sources = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
-    schedule = keep(schedule_slots(spark, sources, n_sources, total, block_words), "schedule")
+    schedule = keep(schedule_slots(spark, sources, n_sources, total, block_words, golden), "schedule")
 
     # Lines: the documents of a source in shuffled order, laid end to end.
     known = sources.withColumnRenamed("source", "__source")
     placed = sized.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "weight")
-    shuffled = F.xxhash64(F.lit(seed), "doc_id")
-    lines = rank_within(placed, ["source_rank"], [shuffled, F.col("doc_id"), F.col("size")], blocks_for(rows), shuffled, "line_start", weight="size")
-    lines = keep(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
+    shuffled = F.xxhash64(F.lit(seed), "doc_id", "size", "fp")
+    order = [shuffled, F.col("doc_id"), F.col("size"), F.col("fp")]
+    lines = keep(rank_within(placed, ["source_rank"], order, blocks_for(rows), shuffled, "line_start", weight="size"), "lines")
 
     # Block r of a repeated line is its words r * b to (r + 1) * b; the target ends the last one. Documents are
     # laid out once for each epoch that the target reaches and cut at block borders.
@@ -132,9 +182,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
         (F.least(F.col("end"), (F.col("rank") + 1) * b) - F.col("at")).alias("word_end"),
     )
     fragments = keep(schedule.join(cut, ["source_rank", "rank"]), "fragments")
-    taken = fragments.groupBy("row").agg(F.sum(F.col("word_end") - F.col("word_start")).alias("taken"))
-    documents = lines.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return Mix(documents, schedule, fragments, b)
+    words = F.sum(F.col("word_end") - F.col("word_start"))
+    copies = keep(fragments.groupBy("row", "epoch").agg(words.alias("words"), F.min("slot").alias("slot")), "copies")
+    taken = copies.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    documents = lines.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    return Mix(documents, schedule, fragments, copies, b)
 
 
 def _leading_words(batches, text: str):  # noqa: ANN001, ANN202
@@ -147,18 +199,15 @@ def _leading_words(batches, text: str):  # noqa: ANN001, ANN202
 
 
 def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """docs as the mix takes them: each as often as it is taken whole, and the one of a source that the target
-    cuts once more, up to the cut. Documents without words are not taken. Columns are those of docs.
-
-    Rows that share an id are told apart by source, size and text.
+    """docs as the mix takes them, in the order of the schedule: each as often as it is taken whole, and the one of a source that the
+    target cuts once more, up to the cut. Documents without words are not taken. Columns are those of docs.
     """
     bounded_batches(docs.sparkSession)
     columns = docs.columns
-    same = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"), F.length("text"))
-    known = docs.withColumn("__k", F.row_number().over(same)).withColumn("__id", F.struct("doc_id", "__k"))
-    of = mix(known, doc_id="__id", **options).documents.where("taken > 0").select(F.col("doc_id.doc_id").alias("__d"), F.col("doc_id.__k").alias("__kd"), "size", "taken")
-    of = of.select("__d", "__kd", F.explode(F.expr("sequence(1L, (taken + size - 1) div size)")).alias("__copy"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    of = of.withColumn("__first", F.when(F.col("__copy") * F.col("__size") > F.col("__taken"), F.col("__taken") % F.col("__size")).otherwise(F.lit(0)))
-    joined = known.join(of, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__kd"))).select(*columns, "__first")
+    known = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
+    sized = with_size(known.select("__row", "text"), name="__size").select("__row", "__size")
+    of = mix(known, row="__row", **options).copies.withColumnRenamed("row", "__row").join(sized, "__row")
+    of = keep(of.select("__row", F.col("slot").alias("__slot"), F.when(F.col("words") < F.col("__size"), F.col("words")).otherwise(F.lit(0)).alias("__first")), "taken")
+    joined = known.join(of, "__row").orderBy("__slot", "__row").select(*columns, "__first")
     out = joined.mapInArrow(lambda batches: _leading_words(batches, "text"), joined.schema).select(*columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -38,7 +38,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.mixing import mix
 
-    return mix(_docs(spark, sf_dir)).documents.select("doc_id", "size", "source_size", "target", "taken")
+    return mix(_docs(spark, sf_dir)).documents.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
