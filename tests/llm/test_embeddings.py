@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tidelog.llm import embeddings
-from tidelog.llm.embeddings import Index, near_duplicates, traversal
+from tidelog.llm.embeddings import Index, indexed_duplicates, near_duplicates, traversal
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string"
 
@@ -63,3 +63,33 @@ def test_traversal_is_in_order_of_distance():
         found = traversal(x, index, most)
         for row, d in zip(found, full.reshape(20, -1), strict=True):
             assert row.tolist() == np.argsort(d, kind="stable")[:most].tolist()
+
+
+def test_rows_of_one_id_are_one_vector(spark):
+    """A partner counts once, whether rows repeat or an id has several vectors."""
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.99, 0.05, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(1, a)] * 3 + [(2, b)] + [(3, a), (3, c), (3, c)] + [(4, c)] + [(5, [0.0, 1.0, 0.0, 0.0])] + [(9, b)] * 2
+    out = near_duplicates(spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)).collect()
+    assert len(out) == len(rows)
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in out} == {(1, 3, 1), (2, 3, 1), (3, 4, 1), (4, 1, 1), (5, 0, 5), (9, 3, 1)}
+
+
+def test_a_hot_id(spark):
+    rows = [(7, [1.0, 0.001 * i]) for i in range(900)] + [(i, [1.0, 0.0]) for i in range(100, 130)]
+    out = near_duplicates(spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)).collect()
+    assert {(r["vec_id"], r["n_links"]) for r in out} == {(7, 30)} | {(i, 30) for i in range(100, 130)}
+
+
+def test_recall_is_measured_and_reached(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 8))  # no clusters: links cross many cells
+    table = spark.createDataFrame([(i, [float(v) for v in r], 1, "x") for i, r in enumerate(x)], SCHEMA)
+    ids, link = brute([(i, list(r)) for i, r in enumerate(x)])
+    for first, most in ((128, 2048), (2, 4)):  # of few cells: all are compared
+        monkeypatch.setattr(embeddings, "FIRST_CELLS", first)
+        monkeypatch.setattr(embeddings, "MOST_CELLS", most)
+        out, index = indexed_duplicates(table)
+        found = {r["vec_id"]: r["n_links"] for r in out.collect()}
+        assert index.recall >= 0.995 and sum(found.values()) >= 0.99 * link.sum()
+        if most == 4:
+            assert len(index.first) == 1 and all(found[int(i)] == n for i, n in zip(ids, link.sum(1), strict=True))

@@ -3,16 +3,19 @@
 Unit vectors are cut in two halves; each half has a codebook (k-means on a bounded sample), and pairs of codewords form a
 product grid of cells. A vector lives in its nearest cell and visits the first T cells in the order of the sum of both squared
 distances (the multi-sequence order: cell (i, j) of the sorted halves cannot come before rank (i+1)(j+1), so the first T lie on
-a staircase of about T ln T candidates). T is twice the least that reaches ``TARGET_RECALL`` on average over sampled queries, each
-against all rows, and at least ``LEAST_CELLS``, as a sample of queries sees few of the small groups.
+a staircase of about T ln T candidates). T is twice the least power of two that reaches ``TARGET_RECALL`` on average over sampled queries,
+each against all rows, and at least ``LEAST_CELLS``, as a sample of queries sees few of the small groups. The measured recall is
+``Index.recall``. If the target is not reached, more cells are tried, up to ``MOST_CELLS``; if these do not do either, the
+vectors have no cells that tell them apart, and all are compared in blocks, which is exact.
 A pair is found when either vector visits the cell of the other, is verified by cosine in double precision, and is
 counted in one place only. A cell of any size is compared in blocks; a block returns counts by vector and a spanning forest of its
 links, never pairs.
 
-Codewords grow with the square root of the rows, so a cell keeps about ``CELL_ROWS`` rows and the work grows with the rows.
-Vectors that are null, zero, of another dimension than most, or with null or non-finite parts link with nothing; so
-does a null vec_id (its component is null). Rows that share a vec_id are one vector with the links of any. An
-empty table gives no rows.
+Codewords grow with the square root of the rows, up to an eighth of the sample, so a cell keeps about ``CELL_ROWS`` rows and the work grows
+with the rows: with the default sample up to 400 million rows; give a larger one (``sample_rows``) for more.
+Vectors that are null, zero, of another dimension than most (ties: the smaller), or with null or non-finite parts link with nothing; so
+does a null vec_id (its component is null). Rows that share a vec_id are one vector with the links of any: a partner counts
+once, however many rows either has. Other columns are not read, so their names may be any. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +33,13 @@ from pyspark.sql import functions as F
 from tidelog.llm.batches import bounded_batches
 from tidelog.llm.components import components
 from tidelog.plans.scratch import keep
+from tidelog.plans.skew import spread_join
 
 COSINE = 0.9
-#: Rows that codebooks are fitted on, queries that T is measured on, cells visited at least and at most.
-SAMPLE_ROWS, SAMPLE_QUERIES, LEAST_CELLS, MOST_CELLS = 20_000, 1024, 16, 128
+#: Rows that codebooks are fitted on, queries that T is measured on, cells visited at least, tried first, and tried at most.
+SAMPLE_ROWS, SAMPLE_QUERIES, LEAST_CELLS, FIRST_CELLS, MOST_CELLS = 20_000, 1024, 16, 128, 2048
 TARGET_RECALL = 0.995
-CELL_ROWS, MOST_CODEWORDS = 64, 1024
+CELL_ROWS = 64
 BLOCK = 1024
 
 
@@ -73,7 +77,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        own = squared(x, centres).argmin(axis=1)
+        own = np.concatenate([squared(x[a : a + 2048], centres).argmin(axis=1) for a in range(0, len(x), 2048)])
         count = np.bincount(own, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
@@ -100,54 +104,67 @@ def traversal(x: np.ndarray, index: Index, most: int) -> np.ndarray:
     return (o1[rows, i[order]] * k2 + o2[rows, j[order]]).astype(np.int64)
 
 
-def fit_index(vectors: DataFrame, rows: int, dim: int) -> Index:
-    """vectors: vec_id, embedding. Codebooks from a bounded sample, then T from sampled queries against all rows."""
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toArrow().column(0).combine_chunks()
-    _, x = unit(sample, dim) if len(sample) else (None, np.empty((0, dim)))
-    if len(x) < 2:
-        return Index(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)))
-    k = max(1, min(MOST_CODEWORDS, len(x) // 8, round(math.sqrt(rows / CELL_ROWS))))
-    h = dim // 2
-    index = Index(kmeans(x[:, :h], k), kmeans(x[:, h:], k))
-    queries = x[:SAMPLE_QUERIES]
-    most = min(MOST_CELLS, k * k)
+def measured_shares(vectors: DataFrame, index: Index, queries: np.ndarray, dim: int, most: int) -> np.ndarray:
+    """For T = 1, 2, 4 ... most: the share of the queries' links among all rows that are found with T cells, averaged over queries."""
     seen = traversal(queries, index, most)
+    levels = most.bit_length() + 1  # ranks below 1, 2, 4 ... most, and not at all
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many links of each query are found at each rank; rank ``most``: not at all."""
-        found = np.zeros(len(queries) * (most + 1), np.int64)
+        found = np.zeros(len(queries) * levels, np.int64)
         for batch in batches:
             _, y = unit(batch.column(0), dim)
             for a in range(0, len(y), BLOCK):
                 part = y[a : a + BLOCK]
                 q, r = np.nonzero(queries @ part.T >= COSINE)
-                if len(q):
-                    rows, r = np.unique(r, return_inverse=True)
-                    other = traversal(part[rows], index, most)
-                    one, two = seen[q] == other[r][:, :1], other[r] == seen[q][:, :1]
+                for b in range(0, len(q), BLOCK):
+                    own, rows = q[b : b + BLOCK], r[b : b + BLOCK]
+                    rows, which = np.unique(rows, return_inverse=True)
+                    other = traversal(part[rows], index, most)[which]
+                    one, two = seen[own] == other[:, :1], other == seen[own][:, :1]
                     rank = np.minimum(np.where(one.any(1), one.argmax(1), most), np.where(two.any(1), two.argmax(1), most))
-                    found += np.bincount(q * (most + 1) + rank, minlength=len(found))
+                    level = np.where(rank < most, np.ceil(np.log2(rank + 1)).astype(np.int64), levels - 1)
+                    found += np.bincount(own * levels + level, minlength=len(found))
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["at", "n"])
 
-    counts = np.zeros(len(queries) * (most + 1), np.int64)
-    for row in vectors.select("embedding").mapInArrow(ranks, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # queries by ranks at most
+    counts = np.zeros(len(queries) * levels, np.int64)
+    for row in vectors.select("embedding").mapInArrow(ranks, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # queries by levels at most
         counts[row["at"]] = row["n"]
-    counts = counts.reshape(len(queries), most + 1)
+    counts = counts.reshape(len(queries), levels)
     linked = counts[counts.sum(axis=1) > 1]  # each query finds itself
-    share = (np.cumsum(linked[:, :most], axis=1) / linked.sum(axis=1)[:, None]).mean(axis=0) if len(linked) else np.ones(most)
-    enough = np.flatnonzero(share >= TARGET_RECALL)
-    index.cells = max(min(LEAST_CELLS, most), min(most, 2 * (int(enough[0]) + 1) if len(enough) else most))
-    index.recall = float(share[index.cells - 1])
-    return index
+    return (np.cumsum(linked[:, :-1], axis=1) / linked.sum(axis=1)[:, None]).mean(axis=0) if len(linked) else np.ones(levels - 1)
+
+
+def fit_index(vectors: DataFrame, rows: int, dim: int, sample_rows: int = SAMPLE_ROWS) -> Index:
+    """vectors: vec_id, embedding. Codebooks from a bounded sample, then T from sampled queries against all rows."""
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("embedding")).limit(sample_rows).select("embedding").toArrow().column(0).combine_chunks()
+    _, x = unit(sample, dim) if len(sample) else (None, np.empty((0, dim)))
+    h = dim // 2
+    exact = Index(np.zeros((1, h)), np.zeros((1, dim - h)))
+    if len(x) < 2:
+        return exact
+    k = max(1, min(len(x) // 8, round(math.sqrt(rows / CELL_ROWS))))
+    index = Index(kmeans(x[:, :h], k), kmeans(x[:, h:], k))
+    queries, most = x[:SAMPLE_QUERIES], 1 << (min(FIRST_CELLS, k * k).bit_length() - 1)
+    while True:
+        share = measured_shares(vectors, index, queries, dim, most)
+        enough = np.flatnonzero(share >= TARGET_RECALL)
+        if len(enough):
+            level = min(max(int(enough[0]) + 1, LEAST_CELLS.bit_length() - 1), len(share) - 1)
+            index.cells, index.recall = 1 << level, float(share[level])
+            return index
+        if most * 4 > min(MOST_CELLS, k * k):
+            return exact
+        most *= 4
 
 
 def placed(batches: Iterator[pa.RecordBatch], index: Index, dim: int) -> Iterator[pa.RecordBatch]:
     """One row as resident of the nearest cell, and one as visitor of each cell of the traversal (the nearest too)."""
     t = index.cells
+    many = max(16, min(2048, (1 << 21) // (t * t.bit_length())))
     for batch in batches:
-        for a in range(0, batch.num_rows, 2048):
-            part = batch.slice(a, 2048)
+        for a in range(0, batch.num_rows, many):
+            part = batch.slice(a, many)
             good, x = unit(part.column("embedding"), dim)
             cells = traversal(x, index, t)
             n, t_own = cells.shape
@@ -159,16 +176,18 @@ def placed(batches: Iterator[pa.RecordBatch], index: Index, dim: int) -> Iterato
                     pa.array(np.concatenate((cells[:, 0], cells.ravel()))),
                     pa.array(np.concatenate((np.ones(n, bool), np.zeros(n * t_own, bool)))),
                     part.column("vec_id").take(pa.array(good[at])),
+                    part.column("several").take(pa.array(good[at])),
                     pa.array(cells[at, 0]),
                     pa.array(visits, pa.binary()),
                     pa.array(vector, pa.binary()).take(pa.array(at)),
                 ],
-                names=["cell", "resident", "vec_id", "home", "visits", "vector"],
+                names=["cell", "resident", "vec_id", "several", "home", "visits", "vector"],
             )
 
 
 def block_links(pdf: pd.DataFrame, dim: int, kind: str) -> pd.DataFrame:
-    """Residents and visitors of one block: u, v null, n links of u; or u, v of a spanning forest, n = 0."""
+    """Residents and visitors of one block: u, v null, n links of u; or u, v of a spanning forest, n = 0; or, where u or v is an id with
+    several vectors, whose links may be found in several blocks, the link u, v itself, n = -1."""
     r, q = pdf[pdf["resident"]], pdf[~pdf["resident"]]
     if r.empty or q.empty:
         return pd.DataFrame({"u": [], "v": [], "n": []}).astype({"u": "int64", "v": "Int64", "n": "int64"})
@@ -186,8 +205,11 @@ def block_links(pdf: pd.DataFrame, dim: int, kind: str) -> pd.DataFrame:
     first = np.where(home[i] == other[j], rid[i] < qid[j], ~mutual | (home[i] < other[j]))
     mine = first & (rid[i] != qid[j])
     i, j = i[mine], j[mine]
-    ids, count = np.unique(np.concatenate((rid[i], qid[j])), return_counts=True)
+    twice = r["several"].to_numpy()[i] | q["several"].to_numpy()[j]
+    ids = np.unique(np.concatenate((rid[i], qid[j])))
     a, b = np.searchsorted(ids, rid[i]), np.searchsorted(ids, qid[j])
+    count = np.bincount(np.concatenate((a[~twice], b[~twice])), minlength=len(ids)).astype(np.int64)
+    single = pd.DataFrame({"u": np.concatenate((rid[i][twice], qid[j][twice])), "v": pd.array(np.concatenate((qid[j][twice], rid[i][twice])), "Int64")}).drop_duplicates().assign(n=-1)
     label = np.arange(len(ids))
     while True:  # least label over links, until nothing changes
         new = label.copy()
@@ -200,11 +222,27 @@ def block_links(pdf: pd.DataFrame, dim: int, kind: str) -> pd.DataFrame:
     moved = label != np.arange(len(ids))
     counts = pd.DataFrame({"u": ids, "v": pd.array([None] * len(ids), "Int64"), "n": count})
     forest = pd.DataFrame({"u": ids[moved], "v": pd.array(ids[label[moved]], "Int64"), "n": np.zeros(int(moved.sum()), np.int64)})
-    return pd.concat([counts, forest]).astype({"u": "int64", "n": "int64"})
+    return pd.concat([counts, forest, single]).astype({"u": "int64", "n": "int64"})
 
 
-def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def one_row_each(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding, several: equal rows once; whether the id has other vectors too. Only ids that repeat are compared."""
+    again = keep(vectors.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    if again.isEmpty():
+        return vectors.withColumn("several", F.lit(False))
+    part = lambda how: spread_join(vectors, again, ["vec_id"], "n", F.xxhash64("embedding"), how)
+    different = keep(part("left_semi").dropDuplicates(["vec_id", "embedding"]), "different")
+    several = different.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 1).alias("several"))
+    return part("left_anti").withColumn("several", F.lit(False)).unionByName(spread_join(different, several, ["vec_id"], "n", F.xxhash64("embedding")))
+
+
+def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of the table. vec_id is cast to long."""
+    return indexed_duplicates(table, vec_id, embedding, sample_rows)[0]
+
+
+def indexed_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Index | None]:
+    """The rows of ``near_duplicates``, and the index that they were found by, with its measured recall (None: nothing to index)."""
     bounded_batches(table.sparkSession)
     kind = "float32" if "float" in table.schema[embedding].dataType.simpleString() else "float64"  # vectors travel as they are
     slim = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>" if kind == "float32" else "array<double>").alias("embedding"))
@@ -212,22 +250,24 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     shape = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     own = slim.select("vec_id")
     if shape is None or shape["dim"] < 1:
-        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), None
     dim = shape["dim"]
-    vectors = vectors.where(F.size("embedding") == dim)
-    index = fit_index(vectors, shape["n"], dim)
-    rows = keep(vectors.mapInArrow(lambda batches: placed(batches, index, dim), "cell long, resident boolean, vec_id long, home long, visits binary, vector binary"), "cells")
+    vectors = one_row_each(vectors.where(F.size("embedding") == dim))
+    index = fit_index(vectors, shape["n"], dim, sample_rows)
+    rows = keep(vectors.mapInArrow(lambda batches: placed(batches, index, dim), "cell long, resident boolean, vec_id long, several boolean, home long, visits binary, vector binary"), "cells")
     sizes = rows.groupBy("cell").agg(F.count(F.when(F.col("resident"), 1)).alias("nr"), F.count(F.when(~F.col("resident"), 1)).alias("nq")).where("nr > 0 and nq > 1")
-    blocks = sizes.select("cell", F.ceil(F.col("nr") / BLOCK).cast("int").alias("rb"), F.ceil(F.col("nq") / BLOCK).cast("int").alias("qb"))
-    dealt = rows.join(blocks, "cell")
-    salt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    sizes = keep(sizes.select("cell", F.ceil(F.col("nr") / BLOCK).cast("int").alias("rb"), F.ceil(F.col("nq") / BLOCK).cast("int").alias("qb"), (F.col("nr") + F.col("nq")).alias("n")), "blocks")
+    dealt = spread_join(rows, sizes, ["cell"], "n", F.col("vec_id"))
+    salt = lambda n: F.pmod(F.xxhash64("vec_id", "vector"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    rest = ["resident", "vec_id", "home", "visits", "vector"]
+    rest = ["resident", "vec_id", "several", "home", "visits", "vector"]
     r = dealt.where("resident").select("cell", salt("rb").alias("i"), every("qb").alias("j"), *rest)
     q = dealt.where("not resident").select("cell", every("rb").alias("i"), salt("qb").alias("j"), *rest)
     found = keep(r.unionByName(q).groupBy("cell", "i", "j").applyInPandas(lambda pdf: block_links(pdf, dim, kind), "u long, v long, n long"), "links")
-    links = found.where("v is null").groupBy(F.col("u").alias("__id")).agg(F.sum("n").alias("n_links"))
-    comps = components(found.where("v is not null").select("u", "v"))
+    apart = found.where("n = -1").select("u", "v").distinct().select("u", F.lit(1).cast("long").alias("n"))
+    links = found.where("v is null").select("u", "n").unionByName(apart).groupBy(F.col("u").alias("__id")).agg(F.sum("n").alias("n_links"))
+    comps = components(found.where("n = 0 and v is not null").select("u", "v"))
     out = own.join(links, F.col("vec_id") == F.col("__id"), "left").join(comps, F.col("vec_id") == F.col("node"), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out, index
