@@ -109,3 +109,52 @@ def test_regression_separates():
     x = np.array([[1.0, v] for v in range(20)])
     beta = fit(x, (x[:, 1] > 9).astype(float), penalty=0.01)
     assert ((x @ beta > 0) == (x[:, 1] > 9)).all()
+
+
+def test_terms_and_words_are_not_capped(spark, make):
+    from tidelog.llm.toxicity import chosen_terms
+
+    rows = [{"word": f"word{i:04d}x", "t": 9, "odds": 4.0 + i / 1000} for i in range(3000)] + [{"word": "stem*", "t": 50, "odds": 5.0}, {"word": "stemm*", "t": 49, "odds": 5.0}]
+    found = chosen_terms(rows)
+    assert len(found) == 3001 and found[0] == ("stemm*", 5.0) and {t for t, _ in found} == {r["word"] for r in rows} - {"stem*"}
+    long = "z" * 30 + "q" * 30
+    rows, labels = build(500)
+    rows = [(i, t + (f" u{i} {long} v{i}" if labels[i][2] else ""), *rest) for i, t, *rest in rows]
+    model = learn(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert long in model.terms or any(long.startswith(t[:-1]) for t in model.terms if t.endswith("*"))
+
+
+def test_training_is_bounded_and_ids_count_once(spark, make):
+    from tidelog.llm.toxicity import training_rows
+
+    rows = [(i % 30, f"text {i} here", "en", "s") for i in range(600)] + [(None, "no id", "en", "s")] * 5
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)] * 3 + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert training_rows(make(rows), labels, 10).count() == 10 and training_rows(make(rows), labels).count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(30))
+
+
+def test_quotations_are_told_from_abuse(spark, make):
+    """A quoted term counts less than a used one, also where training shows no quotation, and less still where it does."""
+    rng = random.Random(9)
+    rows, labels = build()
+    terms, filler = ["grobian", "schuft", "flegel"], " ".join(t for (_, t, *_), (_, _, y) in zip(rows, labels, strict=True) if not y).split()
+
+    def text(one, two, three):
+        words = [rng.choice(filler) for _ in range(40)]
+        return " ".join([*words[:20], one.format(rng.choice(terms)), *words[20:30], two, rng.choice(terms), three, *words[30:]])
+
+    cited = lambda first: [(first + k, text('"{}"', '"so', 'then"'), "en", "s") for k in range(40)]
+    quoted, more, used = cited(10_000), cited(30_000), [(20_000 + k, text("{}", "so", "then"), "en", "s") for k in range(40)]
+    table = lambda x: spark.createDataFrame(x, "doc_id long, quality int, toxic int")
+    for train, known in ((rows, labels), (rows + more, labels + [(r[0], 1, 0) for r in more])):
+        out = {r["doc_id"]: r["score"] for r in score(make(rows + quoted + used), learn(make(train), table(known))).collect()}
+        q, u = [out[r[0]] for r in quoted], [out[r[0]] for r in used]
+        assert sum(x < 0.5 for x in q) >= 38 and sum(x >= 0.7 for x in u) >= 36, (sorted(q)[-5:], sorted(u)[:5])
+
+
+def test_very_long_texts_and_null_ids(spark, make):
+    rows, labels = build(600)
+    model = learn(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    clean = " ".join(rows[next(i for i, _, y in labels if not y)][1] for _ in range(4000))
+    rude = clean + " grobian schuft flegel" * 4000
+    out = {(r["doc_id"], r["n_hits"] > 0): r for r in score(make([(1, clean, "en", "s"), (2, rude, "en", "s"), (None, "grobian", "en", "s"), (None, None, "en", "s")]), model).collect()}
+    assert out[2, True]["n_hits"] >= 12_000 and out[2, True]["score"] > 0.7 and out[None, True]["held_out"] is False

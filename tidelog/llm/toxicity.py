@@ -6,9 +6,11 @@ texts and in hardly any of others (contexts, not documents, so that copies of on
 when first reached. A word that training texts use as others do is no misspelling of a stem. Words near a hit are weighed too (learned from windows around hits in toxic and other texts), as is
 whether the hit stands in quotation marks; a logistic regression turns these into a score.
 
-Training reads a bounded sample: at most ``MAX_TRAIN`` labelled documents, those of smallest hash. Labels, language, source
-and id are not inputs of a score. Null or empty texts have no hits and get a score as any text without hits;
-without usable labels the score is 0. Repeated rows are scored each; an empty table gives no rows; texts are read whole.
+Training reads a bounded sample: at most ``MAX_TRAIN`` labelled documents, those of smallest hash (of a hash, the smaller id); of rows that
+share an id, the text of the smallest hash. All terms and context words with enough evidence in it are kept, whatever their number and length. Labels,
+language, source and id are not inputs of a score. Null or empty texts have no hits and get a score as any text without hits, as do rows
+without an id (never held out); without usable labels the score is 0. Between terms at one distance the first listed (the stronger) counts.
+Repeated rows are scored each; an empty table gives no rows; texts are read whole. Other columns are not read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from tidelog.llm.batches import bounded_batches
 from tidelog.llm.words import Hasher, Words, chunks, distinct
 from tidelog.plans.scratch import keep
 
-#: Labelled documents to learn from, terms and context words to keep, distinct contexts that a term needs.
-MAX_TRAIN, MAX_TERMS, MAX_CONTEXT, MIN_CONTEXTS = 20_000, 500, 500, 5
+#: Labelled documents to learn from, distinct contexts that a term needs.
+MAX_TRAIN, MIN_CONTEXTS = 20_000, 5
 #: Times likelier in toxic texts than in others, and standard deviations above what chance gives.
 LEAST_LIFT, LEAST_Z = 6.0, 8.0
 #: Letters of a stem.
@@ -171,24 +173,28 @@ def window_words(lo: int, hi: int, word, p: int) -> list[str]:  # noqa: ANN001
     return [plain(word(j)) for j in range(max(lo, p - REACH), min(hi, p + REACH + 1)) if j != p]
 
 
+def is_quoted(lo: int, hi: int, word, p: int) -> bool:  # noqa: ANN001
+    """Whether a quotation is open at word p: an odd number of marks in the window before it, and one in the window after."""
+    before = "".join(word(j) for j in range(max(lo, p - REACH), p)) + word(p)[:1]
+    after = word(p)[-1:] + "".join(word(j) for j in range(p + 1, min(hi, p + REACH + 1)))
+    return sum(before.count(q) for q in _QUOTES) % 2 == 1 and any(q in after for q in _QUOTES)
+
+
 def features(lo: int, hi: int, word, hits: list[tuple[int, int, int]], model: Model) -> list[float]:  # noqa: ANN001
-    """Of one text. Quoted hits (an odd number of marks in the window before, one after) are counted apart."""
-    weight = quoted = fuzzy = 0.0
+    """Of one text. Quoted hits have a weight of their own and count nowhere else: what a text cites is not what it says."""
+    weight = quoted = fuzzy = used = 0.0
     around: list[float] = []
     for p, distance, term in hits:
-        before = "".join(word(j) for j in range(max(lo, p - REACH), p)) + word(p)[:1]
-        after = word(p)[-1:] + "".join(word(j) for j in range(p + 1, min(hi, p + REACH + 1)))
-        marks = sum(before.count(q) for q in _QUOTES)
-        context = [model.context.get(x, 0.0) for x in window_words(lo, hi, word, p)]
-        around.append(sum(context))
         own = model.weights[term] / (1 + distance)
-        if marks % 2 and any(q in after for q in _QUOTES):
+        if is_quoted(lo, hi, word, p):
             quoted += own
-        else:
-            weight += own
+            continue
+        weight += own
+        around.append(sum(model.context.get(x, 0.0) for x in window_words(lo, hi, word, p)))
         fuzzy += distance > 0
+        used += 1
     n = hi - lo
-    return [1.0, math.log1p(weight), math.log1p(quoted), math.log1p(fuzzy), float(weight > 0), max(-5.0, min(5.0, sum(around) / len(around))) if around else 0.0, min(1.0, 20 * len(hits) / n) if n else 0.0, math.log1p(n) / 10]
+    return [1.0, math.log1p(weight), math.log1p(quoted), math.log1p(fuzzy), float(weight > 0), max(-5.0, min(5.0, sum(around) / len(around))) if around else 0.0, min(1.0, 20 * used / n) if n else 0.0, math.log1p(n) / 10]
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -211,33 +217,39 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, around, labels = [], [], []
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             own = ["", *(plain(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")), ""]
-            rows = {(own[i], own[i - 1] + " " + own[i + 1]) for i in range(1, len(own) - 1) if 3 <= len(own[i]) <= 40}
+            rows = {(own[i], own[i - 1] + " " + own[i + 1]) for i in range(1, len(own) - 1) if len(own[i]) >= 3}
             words += [r[0] for r in rows]
             around += [r[1] for r in rows]
             labels += [toxic] * len(rows)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(around, pa.string()), pa.array(labels, pa.int32())], names=["word", "around", "toxic"])
 
 
-def chosen_terms(rows: list, most: int = MAX_TERMS) -> list[tuple[str, float]]:
+def chosen_terms(rows: list) -> list[tuple[str, float]]:
     """Words and stems (term, contexts t, odds), the strongest first, without those that a chosen stem covers. A stem
     is made as long as it can be without losing a tenth of its contexts, and gives way to a word that has most of them."""
-    count = {r["word"]: r["t"] for r in rows}
+    longer_of: dict[str, list[tuple[int, str]]] = {}  # stems by what they are without their last letter
+    best_word: dict[str, int] = {}  # most contexts of a word with this beginning
+    for r in rows:
+        body = r["word"].removesuffix("*")
+        if r["word"].endswith("*"):
+            longer_of.setdefault(body[:-1], []).append((r["t"], body))
+        else:
+            for k in range(STEM[0], min(STEM[1], len(body)) + 1):
+                best_word[body[:k]] = max(best_word.get(body[:k], 0), r["t"])
     out: list[tuple[str, float]] = []
     stems: set[str] = set()
     for r in sorted(rows, key=lambda r: (-r["t"] * r["odds"], len(r["word"]), r["word"])):
         term, body = r["word"], r["word"].removesuffix("*")
-        if len(out) == most or any(body[:k] in stems for k in range(STEM[0], len(body) + 1)):
+        if any(body[:k] in stems for k in range(STEM[0], min(STEM[1], len(body)) + 1)):
             continue
         if term.endswith("*"):
-            while longer := max(((t, w) for w, t in count.items() if w.endswith("*") and len(w) == len(body) + 2 and w.startswith(body) and t >= 0.9 * r["t"]), default=None):
-                body = longer[1].removesuffix("*")
+            while longer := max((x for x in longer_of.get(body, ()) if x[0] >= 0.9 * r["t"]), default=None):
+                body = longer[1]
             term = body + "*"
-            if body in stems:
-                continue
-            if any(1.3 * t >= r["t"] and not w.endswith("*") and w.startswith(body) for w, t in count.items()):
+            if body in stems or 1.3 * best_word.get(body, 0) >= r["t"]:
                 continue
             stems.add(body)
-        out.append((term, float(min(r["odds"], 6.0))))
+        out.append((term, float(r["odds"])))
     return out
 
 
@@ -257,11 +269,12 @@ def _log_odds(counts: DataFrame, least: int, stems: bool = False) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
-    """text, toxic of at most ``most`` labelled documents outside the held-out third."""
+    """text, toxic of at most ``most`` labelled documents outside the held-out third, one row a document."""
     seen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
     few = seen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     few = few.withColumnRenamed("doc_id", "__id")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__id")).select("text", "toxic")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__id"))
+    return found.groupBy("__id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
@@ -270,7 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     counts = train.mapInArrow(contexts, "word string, around string, toxic int").distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
     counts = keep(counts, "counts")
     found = _log_odds(counts, MIN_CONTEXTS, stems=True).where((F.col("odds") >= math.log(LEAST_LIFT)) & (F.col("z") >= LEAST_Z) & (F.col("t") >= MIN_CONTEXTS))
-    terms = chosen_terms(found.orderBy(F.desc(F.col("t") * F.col("odds")), "word").limit(8 * MAX_TERMS).collect())
+    terms = chosen_terms(found.collect())  # of the words of the sample
     model = Model([t for t, _ in terms], [w for _, w in terms])
     if not terms:
         return model
@@ -294,7 +307,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["word", "toxic"])
 
     near = _log_odds(train.mapInArrow(around, "word string, toxic int").groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n")), MIN_CONTEXTS)
-    model.context = {r["word"]: max(-2.0, min(2.0, float(r["odds"]))) for r in near.orderBy(F.desc(F.abs("odds")), "word").limit(MAX_CONTEXT).collect()}
+    model.context = {r["word"]: max(-2.0, min(2.0, float(r["odds"]))) for r in near.orderBy("word").collect()}  # of the words near the sample's hits
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, hasher = FuzzyLexicon(model.terms, model.known), Hasher()
