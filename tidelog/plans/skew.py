@@ -15,7 +15,7 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str,
     A key with more rows than an average task of the shuffle gets (and than ``least``) is dealt over several tasks: its rows
     by ``salt``, and its row of ``keyed`` copied to each. Which keys these are is known by hash bucket: at most
     ``BUCKETS`` numbers at the driver, whatever the number of keys; other keys of such a bucket are copied too, which does no harm.
-    ``weight`` is not in the result. ``how``: inner or left_semi.
+    ``weight`` is not in the result. ``how``: inner, left, left_semi or left_anti.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
