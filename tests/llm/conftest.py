@@ -30,15 +30,22 @@ def corpus():
     texts += [words(rng, 30) + " " + passage + "\n" + words(rng, 20) for _ in range(6)]
     texts += ["", " \t\n", None, "one", "a b c", "Mail me: jo.doe@example.com or +1 (555) 123-4567, ip 10.0.0.1.", "é ß 日本  x", passage]
     texts += ["line one two\nline one two\n\nother line here\nline one two\n" * 3, words(rng, 9000), "Na " * 60]
-    for a, b in (("a", "b"), ("b", "a")):
-        texts += [f"one {''.join(alternating(n, a, b))} two" for n in (1024, 8192)]
-        texts.append(" ".join(alternating(2048, a, b)))
     rows = [(i, t, "en", f"s{i % 4}" if i % 9 else None) for i, t in enumerate(texts)]
     rows += [rows[2], rows[2]]  # repeated rows
     rows += [(None, texts[1], None, "s1")]
     return rows
 
 
+@pytest.fixture(scope="session")
+def regular():
+    """Rows with long words of two letters, and long texts of two words, that differ in their order alone."""
+    texts = []
+    for a, b in (("a", "b"), ("b", "a")):
+        texts += [f"one {''.join(alternating(n, a, b))} two" for n in (1024, 2048, 4096, 8192)]
+        texts += [" ".join(alternating(2048, a, b)), "x " + " ".join(alternating(600, a, b))]
+    return [(i, t, "en", "s") for i, t in enumerate(texts)]
+
+
 @pytest.fixture(scope="session")
 def make(spark):
     """A DataFrame of documents with extra columns whose names operators use inside."""

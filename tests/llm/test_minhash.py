@@ -89,3 +89,19 @@ def test_components(spark, shape):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     wanted = groups(edges, nodes)
     assert {x: found.get(x, x) for x in nodes} == wanted
+
+
+def test_repeated_and_null_ids(make):
+    """Rows of one id are one document, linked by any of its texts; a hot id makes no pairs."""
+    words = [[f"w{k}.{i}" for i in range(40)] for k in range(3)]
+    near = lambda k, i: " ".join([*words[k][:38], f"x{i}", f"y{i}"])
+    rows = [(1, near(0, 1), "en", "s"), (2, near(0, 2), "en", "s"), (2, near(1, 3), "en", "s"), (3, near(1, 4), "en", "s"), (4, near(2, 5), "en", "s")] + [(7, near(2, 100 + i), "en", "s") for i in range(300)] + [(None, near(0, 9), "en", "s")] * 3
+    out = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(make(rows)).collect()}
+    assert out == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (7, 4, False), (None, None, True)}
+    kept = [r["doc_id"] for r in drop_near_duplicates(make(rows)).collect()]
+    assert sorted(x for x in kept if x is not None) == [1, 4] and kept.count(None) == 3
+
+
+def test_texts_of_two_words(make, regular):
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(make(regular)).collect()}
+    assert found == brute(regular)

@@ -96,3 +96,8 @@ def test_a_hot_passage_is_spread(make):
     rows = [(i, f"own{i} {passage} end{i}" if i % 2 else " ".join(f"u{i}.{x}" for x in range(70)), "en", "s") for i in range(1500)]
     out = {r["doc_id"]: r["n_removed"] for r in removed(make(rows)).collect()}
     assert out == {i: 60 if i % 2 and i > 1 else 0 for i in range(1500)}
+
+
+def test_texts_of_two_words(make, regular):
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in drop_repeated(make(regular)).collect()}
+    assert found == brute(regular, 50)

@@ -1,12 +1,12 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., SoCC 2014).
 
 Edges stay in Spark; each step is one aggregate and one join, written to the shared folder. A node of many
-edges is a hot key of a plain join, which adaptive execution splits. Nothing is collected but two numbers a step.
+edges is a hot key of a plain join, which adaptive execution splits. Nothing reaches the driver but two numbers a step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidelog.plans.scratch import drop, keep
@@ -27,13 +27,15 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (equal types, an order) to node, component: the smallest node reachable, for nodes with an edge
-    that are not the smallest themselves. Loops and repeated edges do no harm."""
+    that are not the smallest themselves. Loops and repeated edges do no harm. Whether a step changed anything is observed
+    while its edges are written."""
     now = keep(edges.where("u != v").select("u", "v").distinct(), "edges")
     state = None
     while True:
         mid = keep(_large(now), "large")
-        new = keep(_small(mid), "small")
-        found = tuple(new.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
+        seen = Observation()
+        new = keep(_small(mid).observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")), "small")
+        found = (seen.get["n"], seen.get["h"])
         drop(mid)
         drop(now)
         now = new
