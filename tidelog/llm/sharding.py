@@ -6,7 +6,9 @@ dealt by hash into parts of bounded size; each part is differenced in one task a
 and those are differenced again, on executors while there are many, then on the driver. A group's documents
 are never looked at one by one, so a hot group is one row; the shard of a document comes back by a join.
 
-A null text counts as an empty one. Repeated rows belong to the group of their text. An empty table gives no rows.
+A null text counts as an empty one. Repeated rows belong to the group of their text, rows of one id or none to those of theirs. Texts of any
+length count by their bytes alone. Among equal spreads the partial partition made first comes first, among equal bins the lower one, so
+reruns agree. Other columns are not read, so their names may be any. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidelog.plans.ranks import blocks_for, rank_within
 from tidelog.plans.scratch import keep
+from tidelog.plans.skew import spread_join
 
 SHARDS = 24
 #: Groups of one part at most, on average; parts combined in one task or on the driver.
@@ -98,7 +101,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
     slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.md5(body.cast("binary")).alias("key"))
     slim = keep(slim, "sizes")
     rows = slim.count()
-    to = shard_groups(slim.groupBy("key").agg(F.sum("size").alias("bytes")), shards, **limits)
-    joined = slim.join(to, "key").select("doc_id", "size", "text_crc32", "shard")
+    groups = keep(slim.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "texts")
+    to = keep(shard_groups(groups.drop("n"), shards, **limits).join(groups.select("key", "n"), "key"), "shards")
+    joined = spread_join(slim, to, ["key"], "n", F.col("doc_id")).select("doc_id", "size", "text_crc32", "shard")
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    return rank_within(joined, ["shard"], order, blocks_for(rows), F.xxhash64("doc_id"), "slot")
+    return rank_within(joined, ["shard"], order, blocks_for(rows), F.xxhash64("doc_id", "text_crc32", "size"), "slot")
