@@ -111,3 +111,13 @@ def test_every_id_lies_in_one_piece(docs, corpus, empty):
     first = next(r for r in sequences if r["sequence_id"] == 0)
     assert np.frombuffer(bytes(first["tokens"]), "<u4")[-1] != 0
     assert pack(empty, PATH).placement().count() == 0
+
+
+def test_words_of_two_letters(make, regular):
+    library = Tokenizer.from_file(PATH)
+    rows = {(r["doc_id"], r["start"]): r["crc"] for r in pack(make(regular), PATH).placement(crc=F.crc32("ids")).collect()}
+    wanted = {}
+    for doc_id, text, *_ in regular:
+        ids = library.encode(text, add_special_tokens=False).ids + [1]
+        wanted |= {(doc_id, a): zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes()) for a in range(0, len(ids), 2048)}
+    assert rows == wanted

@@ -161,7 +161,7 @@ class Packing:
     def placement(self, **extra: Column) -> DataFrame:
         """Each piece's sequence_id and offset, with columns made from the piece (such as a digest of its ids)."""
         slim = self.pieces.select("doc_id", "start", "length", "doc_tokens", "task", "nth", *(c.alias(n) for n, c in extra.items()))
-        ranked = slim.join(self._ranks, ["task", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("task", "nth", "before")
+        ranked = slim.join(self._ranks.hint("merge"), ["task", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("task", "nth", "before")
         plan, fields = self.plan, [f for f in ranked.schema if f.name != "rank"]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
         return ranked.mapInArrow(lambda batches: placed(batches, plan), schema)
