@@ -65,3 +65,9 @@ def test_filter_keeps_rows_as_they_are(docs, corpus, empty):
     texts = [r["text"] for r in out.collect()]
     assert None not in texts and "" not in texts and corpus[0][1] in texts and ("Na " * 60) not in texts
     assert filter_documents(empty).count() == 0
+
+
+def test_texts_of_two_words(make, regular):
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", "n_repeat_words", "n_distinct_words", "longest_word"]
+    found = {r["doc_id"]: tuple(r[n] for n in names) for r in ledger(make(regular)).collect()}
+    assert found == {i: brute(t) for i, t, *_ in regular}

@@ -23,4 +23,4 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_all_ten_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))

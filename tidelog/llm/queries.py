@@ -80,6 +80,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("__base")).alias("base_failed"), "kept", "failures")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of a policy rejects, alone and with others, from one ledger of failure bits."""
+    from tidelog.llm.quality import ablations, ledger
+
+    return ablations(ledger(_docs(spark, sf_dir)), "v1")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.toxicity import learn, score
 
@@ -87,4 +94,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("n_hits")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_mixing, op4_chat_formatting, op5_substring_dedup, op6_embedding_dedup, op7_minhash, op8_sharding, op9_quality_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_mixing, op4_chat_formatting, op5_substring_dedup, op6_embedding_dedup, op7_minhash, op8_sharding, op9_quality_rules, op10_toxicity, quality_ablations)}

@@ -22,6 +22,13 @@ f AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_wo
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failures = 0 AS kept, failures FROM f"""
 )
 
+ABLATIONS = (
+    "WITH q AS ("
+    + QUALITY
+    + """), r AS (SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'repeated_lines', 'repeated_line_chars', 'short_words', 'long_words', 'few_kinds']) AS rule, unnest([1, 2, 4, 8, 16, 32, 64, 128]) AS bit)
+SELECT rule, count(*) FILTER (failures & bit <> 0) AS failed, count(*) FILTER (failures = bit) AS failed_alone, count(*) FILTER (failures & ~bit = 0) AS kept_without FROM q, r GROUP BY rule"""
+)
+
 SUBSTRINGS = (
     _WORDS
     + r""", win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM d, unnest(range(1, greatest(len(w) - 48, 1))) AS r(i)),
@@ -71,4 +78,5 @@ SQL = {
     "op6_embedding_dedup": EMBEDDINGS,
     "op7_minhash": NEAR_DUPLICATES,
     "op9_quality_rules": QUALITY,
+    "quality_ablations": ABLATIONS,
 }
