@@ -218,3 +218,95 @@ def test_union_is_one_log(spark):
     rows = [{"event_id": str(i), "stream_id": "s", "version": i, "global_version": i, "event_type": "x"} for i in (1, 2)]
     both = EventLog(in_memory(spark, rows[:1]).events).union(in_memory(spark, rows[1:]))
     assert both.last_position() == 2
+
+
+def many(spark, n, events=2, first="s"):
+    return spark.createDataFrame([(f"{first}{i}", "E", str(k), i * 100 + k) for i in range(n) for k in range(events)], "stream_id string, event_type string, payload string, o long")
+
+
+def test_failures_of_a_bulk_append_have_their_own_kinds(spark, tmp_path):
+    from tidelog.errors import InvalidRevision, RevisionConflict, StreamAlreadyExists, StreamNotFound
+
+    with LogStore(spark, str(tmp_path / "s")) as store:
+        store.append_all(many(spark, 3), ["o"])
+        expect = lambda rows: spark.createDataFrame(rows, "stream_id string, expected long")
+        for rows, error in (([("s0", 0)], StreamAlreadyExists), ([("new", -2)], StreamNotFound), ([("s1", 7)], RevisionConflict), ([("s1", -9)], InvalidRevision), ([("new", 3)], RevisionConflict)):
+            with pytest.raises(error):
+                store.append_all(many(spark, 3), ["o"], expect(rows))
+        assert store.last_commit() == 1
+        store.append_all(many(spark, 3), ["o"], expect([("s0", 2), ("s1", -2), ("s2", -1), ("other", 0)]))
+        assert {r["head"] for r in store.heads().collect()} == {4} and store.position() == 12
+
+
+def test_an_append_reads_heads_and_no_events(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(LogStore, "LISTED_HEADS", 4)
+    monkeypatch.setattr(LogStore, "DELTAS", 3)
+    store = LogStore(spark, str(tmp_path / "s"))
+    wanted = {}
+    for i in range(8):
+        rows = many(spark, 5 + i, 1 + i % 2) if i % 3 else many(spark, 2, 3, "few")
+        store.append_all(rows, ["o"])
+        for r in rows.collect():
+            wanted[r["stream_id"]] = wanted.get(r["stream_id"], 0) + 1
+    files = store.heads().inputFiles()
+    assert files and all("/heads/" in f for f in files)
+    monkeypatch.setattr(store, "read", None)  # whoever reads events fails
+    store.append_all(many(spark, 20), ["o"])
+    for i in range(20):
+        wanted[f"s{i}"] = wanted.get(f"s{i}", 0) + 2
+    monkeypatch.undo()
+    again = LogStore(spark, str(tmp_path / "s"))
+    assert {r["stream_id"]: r["head"] for r in again.heads().collect()} == wanted
+    assert {r["stream_id"]: r["head"] for r in again.read().heads().collect()} == wanted
+    assert all(again.head(s) == n for s, n in list(wanted.items())[:6]) and again.head("none") == 0
+    assert any(m.all_heads for m in again.manifests())
+    again.compact()
+    assert again.head("s3") == wanted["s3"] and LogStore(spark, str(tmp_path / "s")).head("few0") == wanted["few0"]
+    numbers = [r["global_version"] for r in again.read().load_all().collect()]
+    assert numbers == list(range(1, sum(wanted.values()) + 1))
+
+
+def test_long_logs_are_opened_by_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(LogStore, "CHUNK", 3)
+    store = LogStore(spark, str(tmp_path / "s"))
+    for i in range(7):
+        store.append([{"stream_id": f"a{i % 2}", "event_type": "E", "payload": str(i)}])
+    opened = []
+    fresh = LogStore(spark, str(tmp_path / "s"))
+    text = fresh._text
+    monkeypatch.setattr(fresh, "_text", lambda name: opened.append(name) or text(name))
+    assert [m.number for m in fresh.manifests()] == list(range(1, 8)) and fresh.manifests() == store.manifests()
+    assert sum("/manifests/" in name for name in opened) <= 4 and fresh.head("a0") == 4
+
+
+def test_restore_and_what_reaches_the_scan(spark, tmp_path):
+    store, copy = LogStore(spark, str(tmp_path / "s")), LogStore(spark, str(tmp_path / "t"))
+    store.append_all(many(spark, 30, 3), ["o"])
+    copy.restore(store.read().events)
+    rows = lambda s: sorted(tuple(r)[:8] for r in s.read().events.drop("metadata").collect())
+    assert rows(copy) == rows(store) and copy.head("s7") == 3 and copy.position() == 90
+    plan = copy.read().load_stream_from("s7", Revision(1))._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert "EqualTo(stream_id,s7)" in pushed and "GreaterThan(version,1)" in pushed
+    copy.append([{"stream_id": "s7", "event_type": "E", "payload": ""}], Revision(3))
+    assert copy.head("s7") == 4
+    with pytest.raises(Exception, match="not empty"):
+        copy.restore(store.read().events)
+
+
+def test_retrying(spark, tmp_path):
+    from tidelog.envelope import AppendResult
+    from tidelog.errors import RevisionConflict
+
+    store, left = LogStore(spark, str(tmp_path / "s")), [2]
+
+    def attempt():
+        if left[0]:
+            left[0] -= 1
+            raise RevisionConflict("s", 1, 2)
+        return AppendResult(True, "s", 1)
+
+    assert store.retrying(attempt, retries=2, pause=0.01).successful
+    left[0] = 3
+    with pytest.raises(RevisionConflict):
+        store.retrying(attempt, retries=1, pause=0.01)
