@@ -304,3 +304,79 @@ def test_rule_rejections_of_workers(spark, by_value):
     finally:
         if by_value:
             cloudpickle.unregister_pickle_by_value(tidelog)
+
+
+class Slow:
+    """A bus of two shards whose first is held up until ``go`` is set."""
+
+    def __init__(self, depth=1):
+        import threading
+
+        self.go, self.done, self.bus = threading.Event(), [], CommandBus(2, depth)
+        self.bus.register(Add, self.handle)
+        names = [f"a{i}" for i in range(50)]
+        self.held, self.free = (next(n for n in names if shard_of(n, 2) == k) for k in (0, 1))
+
+    def handle(self, command):
+        if command.aggregate_id == self.held:
+            assert self.go.wait(20)
+        self.done.append(command.n)
+        return command.n
+
+    def start(self, n):
+        import threading
+
+        out = []
+
+        def run():
+            try:
+                out.append(self.bus.dispatch(Add(self.held, n)))
+            except Exception as e:  # noqa: BLE001
+                out.append(e)
+
+        thread = threading.Thread(target=run)
+        thread.start()
+        return thread, out
+
+
+def test_a_full_shard_holds_up_its_own_callers_only():
+    import time
+
+    slow = Slow()
+    waiting = [slow.start(i) for i in range(3)]  # one under way, one in the queue, one that waits for a place
+    time.sleep(0.2)
+    began = time.monotonic()
+    assert slow.bus.dispatch(Add(slow.free, 7), timeout=5) == 7
+    with pytest.raises(TimeoutError):
+        slow.bus.dispatch(Add(slow.held, 8), timeout=0.2)  # the time covers the wait for a place
+    assert time.monotonic() - began < 3
+    given_up = time.monotonic() + 0.2
+    from tidelog.errors import DispatchCancelled
+
+    with pytest.raises(DispatchCancelled):
+        slow.bus.dispatch(Add(slow.held, 9), cancelled=lambda: time.monotonic() > given_up)
+    slow.go.set()
+    for thread, _ in waiting:
+        thread.join(10)
+    assert sorted(out[0] for _, out in waiting) == [0, 1, 2] and set(slow.done) == {0, 1, 2, 7}
+    slow.bus.stop()
+
+
+def test_stop_tells_who_waits_for_a_place():
+    import threading
+    import time
+
+    slow = Slow()
+    waiting = [slow.start(i) for i in range(3)]
+    time.sleep(0.2)
+    stopping = threading.Thread(target=slow.bus.stop)
+    stopping.start()
+    time.sleep(0.2)
+    with pytest.raises(BusClosed):
+        slow.bus.dispatch(Add(slow.free))
+    slow.go.set()
+    stopping.join(10)
+    for thread, _ in waiting:
+        thread.join(10)
+    results = [out[0] for _, out in waiting]
+    assert sum(isinstance(r, BusClosed) for r in results) == 1 and len(slow.done) == 2  # what was taken is finished

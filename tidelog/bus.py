@@ -5,14 +5,16 @@ Middleware is baked in when a handler is registered: what is added later does no
 
 from __future__ import annotations
 
-import queue
 import threading
+import time
+from collections import deque
 from collections.abc import Callable
 from concurrent.futures import Future
+from concurrent.futures import wait as futures_wait
 from typing import Any
 
 from tidelog.envelope import AppendResult
-from tidelog.errors import BusClosed, DuplicateHandler, HandlerFailed, HandlerNotFound, LogError
+from tidelog.errors import BusClosed, DispatchCancelled, DuplicateHandler, HandlerFailed, HandlerNotFound, LogError
 from tidelog.functions.hashing import OFFSET_BASIS, PRIME
 
 Handler = Callable[[Any], Any]
@@ -68,8 +70,52 @@ def shard_of(key: str, shards: int) -> int:
     return h % max(1, shards)
 
 
+class _Shard:
+    """The waiting commands of a shard, at most ``depth``. Who waits for a place waits for this shard alone."""
+
+    def __init__(self, depth: int) -> None:
+        self.depth, self.jobs, self.closed, self.changed = max(1, depth), deque(), False, threading.Condition()
+
+    def put(self, job: Any, until: float | None, cancelled: Callable[[], bool] | None) -> None:
+        with self.changed:
+            while len(self.jobs) >= self.depth and not self.closed:
+                _wait(self.changed.wait, until, cancelled)
+            if self.closed:
+                raise BusClosed("the command bus was stopped")
+            self.jobs.append(job)
+            self.changed.notify_all()
+
+    def get(self) -> Any:
+        """The next command; None when the shard is closed and empty."""
+        with self.changed:
+            while not self.jobs and not self.closed:
+                self.changed.wait()
+            job = self.jobs.popleft() if self.jobs else None
+            self.changed.notify_all()
+            return job
+
+    def close(self) -> None:
+        with self.changed:
+            self.closed = True
+            self.changed.notify_all()
+
+
+#: How often a wait looks whether it was cancelled.
+_LOOK = 0.02
+
+
+def _wait(wait: Callable[[float | None], Any], until: float | None, cancelled: Callable[[], bool] | None) -> None:
+    """Wait once, for a while: until the deadline, or until it is time to look at ``cancelled`` again."""
+    if cancelled and cancelled():
+        raise DispatchCancelled("the caller gave up")
+    left = None if until is None else until - time.monotonic()
+    if left is not None and left <= 0:
+        raise TimeoutError("no answer in time; the command may still run if it was taken")
+    wait(left if not cancelled else _LOOK if left is None else min(left, _LOOK))
+
+
 class CommandBus:
-    """Commands by aggregate, serial within a shard, shards side by side; full queues make callers wait.
+    """Commands by aggregate, serial within a shard, shards side by side; a full shard makes its own callers wait, no others.
 
     This is the path for single commands. Bulk commands are a DataFrame: see ``operators.decide``.
     """
@@ -77,10 +123,8 @@ class CommandBus:
     def __init__(self, shards: int = 1, depth: int = 1024) -> None:
         self._handlers: dict[type, Handler] = {}
         self._middleware: list[Middleware] = []
-        self._closed = False
-        self._lock = threading.Lock()
-        self._queues: list[queue.Queue] = [queue.Queue(depth) for _ in range(max(1, shards))]
-        self._workers = [threading.Thread(target=self._work, args=(q,), daemon=True) for q in self._queues]
+        self._shards = [_Shard(depth) for _ in range(max(1, shards))]
+        self._workers = [threading.Thread(target=self._work, args=(s,), daemon=True) for s in self._shards]
         for w in self._workers:
             w.start()
 
@@ -92,17 +136,17 @@ class CommandBus:
             raise DuplicateHandler(f"{command.__name__} has a handler already")
         self._handlers[command] = wrapped(handler, list(self._middleware))
 
-    def dispatch(self, command: Any, timeout: float | None = None) -> AppendResult:
-        """Run a command and wait. After a timeout the outcome is unknown: the command may still run."""
-        with self._lock:
-            if self._closed:
-                raise BusClosed("the command bus was stopped")
-            done: Future = Future()
-            self._queues[shard_of(command.aggregate_id, len(self._queues))].put((command, done))
-        return done.result(timeout)
-
-    def _work(self, jobs: queue.Queue) -> None:
-        while (job := jobs.get()) is not None:
+    def dispatch(self, command: Any, timeout: float | None = None, cancelled: Callable[[], bool] | None = None) -> AppendResult:
+        """Run a command and wait. ``timeout`` covers the wait for a place in the shard and for the result, and so does
+        ``cancelled``, which is asked while waiting. After either the outcome is unknown: the command may still run if it was taken."""
+        until, done = None if timeout is None else time.monotonic() + timeout, Future()
+        self._shards[shard_of(command.aggregate_id, len(self._shards))].put((command, done), until, cancelled)
+        while not done.done():
+            _wait(lambda left: futures_wait([done], left), until, cancelled)
+        return done.result()
+
+    def _work(self, shard: _Shard) -> None:
+        while (job := shard.get()) is not None:
             command, done = job
             handler = self._handlers.get(type(command))
             try:
@@ -117,12 +161,8 @@ class CommandBus:
                 done.set_exception(failed)
 
     def stop(self) -> None:
-        """Take no more commands, finish those that wait."""
-        with self._lock:
-            if self._closed:
-                return
-            self._closed = True
-        for q in self._queues:
-            q.put(None)
+        """Take no more commands (who waits for a place is told), finish those that were taken. Again: nothing."""
+        for s in self._shards:
+            s.close()
         for w in self._workers:
             w.join()

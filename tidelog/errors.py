@@ -51,6 +51,14 @@ class BusClosed(LogError):
     """The bus was stopped."""
 
 
+class DispatchCancelled(LogError):
+    """The caller of a dispatch gave up waiting."""
+
+
+class LeaseLost(LogError):
+    """Another process runs the subscription."""
+
+
 class StoreClosed(LogError):
     """The store was closed."""
 
