@@ -173,3 +173,144 @@ def test_spool_and_listener(store, spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert spark.read.json(str(tmp_path / "spool")).count() == 2
+
+
+def test_a_start_position_skips_commits(store, monkeypatch):
+    for i in range(6):
+        add(store, "a", f"t{i}")
+    got, handler = collector()
+    subs, asked = Subscriptions(store), []
+    read = store.read
+    monkeypatch.setattr(store, "read", lambda *a, **k: asked.append(k) or read(*a, **k))
+    subs.run("s", handler, start=4, commits_per_batch=2)
+    assert got == [(5, "t4"), (6, "t5")] and min(k["after"] for k in asked) == 4
+
+
+def test_a_name_runs_once_in_all_processes(spark, store):
+    """Two registries stand for two processes: they share nothing but the folder."""
+    import json
+    import time
+
+    from tidelog.errors import DuplicateHandler
+
+    add(store, "a", "x")
+    one, two = Subscriptions(store), Subscriptions(LogStore(spark, store.path))
+    got, handler = collector()
+    sub = one.subscribe("s", handler, interval="1 second", lease_seconds=30)
+    with pytest.raises(DuplicateHandler):
+        two.subscribe("s", handler)
+    one.unsubscribe("s")  # gives the name back
+    two.run("s", handler)
+    assert got.count((1, "x")) == 1
+    # a process that died: its lease runs out, and it stops when it comes back
+    last, _ = two._lease("s")
+    assert one._write_lease(sub, last + 1, time.time() + 0.5) and not two._take(type(sub)("s", handler))
+    assert not one._write_lease(sub, last + 1, 0.0)  # a number is taken once
+    time.sleep(0.6)
+    add(store, "a", "y")
+    two.run("s", handler)
+    assert (2, "y") in got
+    holder = two.subscribe("s", handler, interval="1 second")
+    with pytest.raises(Exception, match="another process"):
+        one._deliver(sub, spark.createDataFrame([(2,)], "number long"), 9)
+    two.unsubscribe("s")
+    assert holder.owner != sub.owner and json.loads(store._text(f"{two.folder}/s/lease/{two._lease('s')[0]:012d}.json"))["until"] == 0
+
+
+def test_run_forever_starts_again(store):
+    add(store, "a", "x")
+    add(store, "a", "y")
+    fail, got = [2], []
+
+    def handler(rows, batch):
+        if fail[0]:
+            fail[0] -= 1
+            raise RuntimeError("not now")
+        got.extend(r["event_type"] for r in rows.collect())
+
+    errors = Subscriptions(store).run_forever("s", handler, pause=0.01)
+    assert got == ["x", "y"] and len(errors) == 2 and all("not now" in e for e in errors)
+
+    def never(rows, batch):
+        raise RuntimeError("never")
+
+    with pytest.raises(Exception, match="never"):
+        Subscriptions(store).run_forever("n", never, attempts=2, pause=0.01)
+    with pytest.raises(ValueError, match="needs a handler"):  # the error of the start itself is shown
+        Subscriptions(store).run_forever("none", None, attempts=1)
+
+
+def test_spools_are_deleted_once_handled(spark, store, tmp_path):
+    from tidelog.streaming.subscribe import drain_spool, spooled
+
+    path = str(tmp_path / "spool")
+    for i in range(3):
+        add(store, "a", f"t{i}")
+    Subscriptions(store).run("s", spooled(path), commits_per_batch=1)
+    got, fail = [], [True]
+
+    def handler(rows, batch):
+        if batch == 1 and fail[0]:
+            raise RuntimeError("crash")
+        got.append((batch, [r["event_type"] for r in rows.collect()]))
+
+    with pytest.raises(RuntimeError):
+        drain_spool(spark, path, handler)
+    assert got == [(0, ["t0"])]
+    (tmp_path / "spool" / "done-7").mkdir()  # a crash between handling and deleting
+    (tmp_path / "spool" / "batch=9").mkdir()  # still being written
+    fail[0] = False
+    assert drain_spool(spark, path, handler) == 2 and got == [(0, ["t0"]), (1, ["t1"]), (2, ["t2"])]
+    assert [x.name for x in (tmp_path / "spool").iterdir()] == ["batch=9"] and drain_spool(spark, str(tmp_path / "none"), handler) == 0
+
+
+def test_an_upsert_rewrites_the_buckets_it_touches(spark, tmp_path):
+    model = Projection(spark, str(tmp_path / "m"), "stream_id string, version long, x string", buckets=16)
+    table = lambda rows: spark.createDataFrame(rows, "stream_id string, version long, x string")
+    model.upsert(table([(f"s{i}", 1, "a") for i in range(100)]), 0)
+    model.upsert(table([("s3", 2, "b")]), 1)
+    state = model._state()
+    assert len(state) == 16 and sum(v == 1 for v in state.values()) == 1
+    assert [x.name for x in (tmp_path / "m" / "v=1").iterdir() if x.is_dir()] == [f"__bucket={next(b for b, v in state.items() if v == 1)}"]
+    model.upsert(table([("s3", 2, "b")]), 1)  # again
+    model.upsert(table([("s4", 1, "late"), ("new", 1, "n")]), 2)
+    model.upsert(table([]), 3)
+    rows = {r["stream_id"]: (r["version"], r["x"]) for r in model.read().collect()}
+    assert len(rows) == 101 and rows["s3"] == (2, "b") and rows["new"] == (1, "n")
+    for i in range(4, 8):
+        model.upsert(table([(f"s{k}", i, str(i)) for k in range(100)]), i)
+    assert model._versions() == [6, 7] and not (tmp_path / "m" / "v=0" / "__bucket=3").exists()
+    assert {(r["version"], r["x"]) for r in model.read().where("stream_id != 'new'").collect()} == {(7, "7")}
+
+
+def test_timers(spark, tmp_path):
+    """A later trigger moves the timer, a cancelling event deletes it, and a timer that is not due waits."""
+    from datetime import datetime, timedelta
+
+    from tidelog.streaming.projections import delayed
+
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    parts = [
+        [("a", 1, "go", at(0)), ("b", 1, "go", at(0)), ("c", 1, "go", at(1)), ("d", 1, "go", at(2))],
+        [("b", 2, "stop", at(3)), ("c", 2, "go", at(5)), ("e", 1, "other", at(11))],
+        [("a", 1, "go", at(0)), ("e", 2, "other", at(20)), ("f", 1, "go", at(19))],
+        [("g", 1, "go", at(20)), ("g", 2, "stop", at(31)), ("g", 3, "go", at(32)), ("h", 1, "other", at(33))],
+    ]
+    schema, source, sink = "stream_id string, version long, event_type string, occurred_at timestamp", str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = delayed(events, "go", "stop", timedelta(hours=10)).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", sink).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {(r["stream_id"], r["due_at"]) for r in spark.read.parquet(sink).collect()} == {("a", at(10)), ("d", at(12)), ("c", at(15)), ("f", at(29)), ("g", at(30))}
+
+
+def test_filters_of_the_source(spark, store):
+    from tidelog.streaming.source import register
+
+    register(spark)
+    add(store, "a", "x", "y")
+    add(store, "b", "x", "z")
+    read = lambda **o: sorted((r["stream_id"], r["event_type"]) for r in spark.read.format("tidelog").options(path=store.path, **o).load().collect())
+    assert read() == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "z")]
+    assert read(stream_id="b") == [("b", "x"), ("b", "z")] and read(types="x,z", after="1") == [("b", "x"), ("b", "z")] and read(stream_id="none") == []

@@ -4,21 +4,27 @@ The stream is the folder of manifests: a micro-batch is a range of commits, read
 into the scan. The checkpoint holds which manifests were seen, a cursor file holds, by micro-batch, up to which commit a batch
 goes; a batch always starts where the one before ended, so order is that of the log however the file source lists its
 files. A handler that raises leaves the batch to be delivered again, whole: at least once, so sinks go by batch id or global version.
+
+A name runs once, in whatever process: who subscribes takes a lease, a numbered file that is created only if absent, renews it with the
+next number while it delivers, and stops when another has taken it. Others wait until it is given back or has run out.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.errors import DuplicateHandler, SkippedEvent
+from tidelog.envelope import ENVELOPE
+from tidelog.errors import DuplicateHandler, LeaseLost, SkippedEvent
 from tidelog.plans.commit import LogStore
 from tidelog.registry import any_of
 
@@ -34,8 +40,10 @@ class Subscription:
     start: int = 0
     commits_per_batch: int = 100
     dead_letters: str | None = None
+    lease_seconds: float = 60.0
     query: StreamingQuery | None = None
     errors: list[str] = field(default_factory=list)
+    owner: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def matches(sub: Subscription) -> Column:
@@ -69,21 +77,25 @@ class Subscriptions:
         commits_per_batch: int = 100,
         dead_letters: str | None = None,
         interval: str | None = None,
+        lease_seconds: float = 60.0,
     ) -> Subscription:
         """Start delivering events to ``handler(events, batch_id)``.
 
         ``types`` and ``prefixes``: none are all. ``start``: a new subscription begins after this global version; one that
         resumes goes on where it was. With ``dead_letters``, batches that the handler fails on are written there and
-        passed over. ``interval`` keeps the subscription running; without it, it ends when it has caught up.
+        passed over. ``interval`` keeps the subscription running; without it, it ends when it has caught up. A name that runs in
+        this or another process is refused; one whose process died is free ``lease_seconds`` after its last batch.
         """
         if handler is None:
             raise ValueError("a subscription needs a handler")
         if name in self._active and self._active[name].query and self._active[name].query.isActive:
             raise DuplicateHandler(f"subscription {name!r} is active")
-        sub = Subscription(name, handler, tuple(types), tuple(prefixes), start, commits_per_batch, dead_letters)
+        sub = Subscription(name, handler, tuple(types), tuple(prefixes), start, commits_per_batch, dead_letters, lease_seconds)
+        if not self._take(sub):
+            raise DuplicateHandler(f"subscription {name!r} runs in another process")
         known = self._cursor(name)
         if known is None:
-            self._move(name, -1, 0, start)
+            self._move(name, -1, bisect.bisect_right([m.position for m in self.store.manifests()], start) if start else 0, start)
         else:
             sub.start = known["start"]
         manifests = (
@@ -102,37 +114,85 @@ class Subscriptions:
     def run(self, name: str, handler: Handler, **options: object) -> Subscription:
         """Deliver what is there, and return."""
         sub = self.subscribe(name, handler, **options)
-        sub.query.awaitTermination()
+        try:
+            sub.query.awaitTermination()
+        finally:
+            self._give_back(sub)
         return sub
 
-    def run_forever(self, name: str, handler: Handler, attempts: int = 100, pause: float = 0.1, longest: float = 10.0, **options: object) -> None:
-        """Start again after failures, with growing pauses."""
-        for i in range(attempts):
+    def run_forever(self, name: str, handler: Handler, attempts: int = 100, pause: float = 0.1, longest: float = 10.0, **options: object) -> list[str]:
+        """Run, and start again after failures with growing pauses, until it ends by itself or ``attempts`` in a row fail without
+        a batch handled between them; then the last error is raised. Returns the errors on the way."""
+        failed, errors = 0, []
+        while True:
+            before, sub = self.position(name), None
             try:
-                self.subscribe(name, handler, **options).query.awaitTermination()
-                return
+                sub = self.subscribe(name, handler, **options)
+                sub.query.awaitTermination()
+                return errors
             except Exception as e:  # noqa: BLE001
-                self._active[name].errors.append(str(e))
-                time.sleep(min(longest, pause * 2**i))
+                errors.append(str(e))
+                failed = 1 if self.position(name) > before else failed + 1
+                if failed >= attempts:
+                    raise
+            finally:
+                if sub:
+                    self._give_back(sub)
+            time.sleep(min(longest, pause * 2 ** (failed - 1)))
 
     def unsubscribe(self, name: str) -> None:
         sub = self._active.pop(name, None)
-        if sub and sub.query:
-            sub.query.stop()
+        if sub:
+            if sub.query:
+                sub.query.stop()
+            self._give_back(sub)
 
     def close(self) -> None:
         for name in list(self._active):
             self.unsubscribe(name)
 
+    # leases: files 1, 2, 3 ... of who holds the name until when; the last one counts
+
+    def _lease(self, name: str) -> tuple[int, dict]:
+        folder = self.store._path(f"{self.folder}/{name}/lease")
+        names = [s.getPath().getName() for s in self.store._fs.listStatus(folder)] if self.store._fs.exists(folder) else []
+        last = max((int(n.split(".")[0]) for n in names if n.endswith(".json") and not n.startswith(".")), default=0)
+        text = self.store._text(f"{self.folder}/{name}/lease/{last:012d}.json") if last else None
+        return last, json.loads(text) if text else {"owner": "", "until": 0.0}
+
+    def _take(self, sub: Subscription) -> bool:
+        """Take or renew the lease: false if another holds it."""
+        last, now = self._lease(sub.name)
+        if now["owner"] != sub.owner and now["until"] > time.time():
+            return False
+        if now["owner"] == sub.owner and now["until"] - time.time() > sub.lease_seconds / 2:
+            return True
+        return self._write_lease(sub, last + 1, time.time() + sub.lease_seconds)
+
+    def _write_lease(self, sub: Subscription, number: int, until: float) -> bool:
+        folder = f"{self.folder}/{sub.name}/lease"
+        self.store._fs.mkdirs(self.store._path(folder))
+        taken = self.store.create(f"{folder}/{number:012d}.json", json.dumps({"owner": sub.owner, "until": until}))
+        if taken and number > 2:
+            self.store._fs.delete(self.store._path(f"{folder}/{number - 2:012d}.json"), False)
+        return taken
+
+    def _give_back(self, sub: Subscription) -> None:
+        last, now = self._lease(sub.name)
+        if now["owner"] == sub.owner and now["until"] > 0:
+            self._write_lease(sub, last + 1, 0.0)
+
     def position(self, name: str) -> int:
         """The last commit that the subscription has handled."""
         cursor = self._cursor(name)
         return cursor["commit"] if cursor else 0
 
     def _deliver(self, sub: Subscription, manifests: DataFrame, batch: int) -> None:
+        if not self._take(sub):
+            raise LeaseLost(f"another process took subscription {sub.name!r}")
         cursor = self._cursor(sub.name, before=batch)
         low, high = cursor["commit"], manifests.agg(F.max("number")).first()[0] or 0
-        if high > low:
+        if high > low:  # commits before a start position are never read
             rows = self.store.read(upto=high, after=low).events.where(matches(sub))
             try:
                 sub.handler(rows.orderBy("global_version"), batch)
@@ -164,11 +224,7 @@ class Subscriptions:
             names = [n for n in names if int(n.split(".")[0]) <= before]
         if not names:
             return None
-        stream = self.store._fs.open(self.store._path(f"{self.folder}/{name}/cursor/{names[-1]}"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(self.store._text(f"{self.folder}/{name}/cursor/{names[-1]}"))
 
 
 def spooled(path: str) -> Handler:
@@ -178,3 +234,28 @@ def spooled(path: str) -> Handler:
         events.write.mode("overwrite").json(f"{path}/batch={batch}")
 
     return handler
+
+
+def drain_spool(spark: SparkSession, path: str, handler: Handler) -> int:
+    """Give the complete batches of a spool to ``handler``, in order, and delete each once it is handled; how many.
+
+    A handler that raises leaves its batch and those after it. A batch is moved away before it is deleted, so what a crash leaves of one that
+    was handled is not given again: it is swept by the next call. Batches that are still being written are left alone.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    files = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where(path)):
+        return 0
+    names = [s.getPath().getName() for s in files.listStatus(where(path))]
+    for done in (n for n in names if n.startswith("done-")):
+        files.delete(where(f"{path}/{done}"), True)
+    handled = 0
+    for batch in sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")):
+        folder = f"{path}/batch={batch}"
+        if not files.exists(where(f"{folder}/_SUCCESS")):
+            continue
+        handler(spark.read.schema(ENVELOPE).json(folder), batch)
+        files.rename(where(folder), where(f"{path}/done-{batch}"))
+        files.delete(where(f"{path}/done-{batch}"), True)
+        handled += 1
+    return handled
