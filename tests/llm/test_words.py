@@ -78,3 +78,16 @@ def test_ranges_that_only_share_a_hash_are_told_apart():
     where, which = distinct(lambda d, a, b: np.zeros(len(a), np.uint64), data, starts, starts + 2)
     words = [data[starts[where[i]] : starts[where[i]] + 2].tobytes() for i in which]
     assert words == [b"aa", b"bb", b"aa", b"cc"]
+
+
+def test_batches_are_bounded_whatever_the_setting_says(spark):
+    from tidelog.llm.batches import BYTES, SETTING, bounded_batches
+
+    before = spark.conf.get(SETTING)
+    try:
+        for now, wanted in (("4m", "4m"), ("1g", str(BYTES)), ("100kb", "100kb"), (str(BYTES * 2), str(BYTES)), ("-1", str(BYTES))):
+            spark.conf.set(SETTING, now)
+            bounded_batches(spark)
+            assert spark.conf.get(SETTING) == wanted
+    finally:
+        spark.conf.set(SETTING, before)

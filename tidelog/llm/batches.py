@@ -9,7 +9,7 @@ BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's limit of bytes per batch to 8 MB; a smaller one stays."""
-    now = spark.conf.get(SETTING)
-    if int(now.removesuffix("b")) > BYTES:
+    """Lower the session's limit of bytes per batch to 8 MB; a smaller one stays. The limit holds from then on, as plans are run later."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(SETTING))
+    if not 0 < now <= BYTES:
         spark.conf.set(SETTING, str(BYTES))
