@@ -50,3 +50,34 @@ def test_scratch_tables(spark, rows):
     with pytest.raises(Exception, match="exist|FILE_NOT_EXIST"):
         spark.read.parquet(kept._tidelog_path)
     assert sweep(spark) == 0
+
+
+def test_running_sums_of_a_hot_key(rows):
+    found = rank_sorted(rows, ["k"], [F.desc("id")], "s", weight="w").collect()
+    for k in {r["k"] for r in found}:
+        at = 0
+        for r in sorted((r for r in found if r["k"] == k), key=lambda r: -r["id"]):
+            at += r["w"]
+            assert r["s"] == at
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_spread_join(spark, rows, how):
+    from tidelog.plans.skew import spread_join
+
+    keyed = rows.where("k is not null and k != 'k1'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).unionByName(spark.createDataFrame([("none", 9, 1)], "k string, n long, top long"))
+    plain = rows.join(keyed.drop("n"), "k", how)
+    found = spread_join(rows, keyed, ["k"], "n", F.col("id"), how, least=10)
+    assert found.columns == plain.columns and sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+    assert "__salt" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert spread_join(rows, keyed.limit(0), ["k"], "n", F.col("id"), how).count() == plain.sparkSession.createDataFrame([], rows.schema).count() + (rows.count() if how in ("left", "left_anti") else 0)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidelog.plans.scratch import shared_dir
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://x:7077")))

@@ -56,23 +56,23 @@ def global_rank(df: DataFrame, order: list[str], name: str, parts: int | None =
     return ranked.join(bases, F.col(p) == F.col(f"{p}_r")).select(*df.columns, (F.col(name) + F.col(base)).alias(name))
 
 
-def rank_sorted(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int | None = None) -> DataFrame:
-    """Add ``name``: 0, 1, 2 ... within ``keys`` by ``order``, nulls last.
+def rank_sorted(df: DataFrame, keys: list[str], order: list[str | Column], name: str, parts: int | None = None, weight: str | None = None) -> DataFrame:
+    """Add ``name``: 0, 1, 2 ... within ``keys`` by ``order``, nulls last. With ``weight``, the sum of that column up to and with the row.
 
     Rows are written range-partitioned by keys and order together, so a hot key is cut where its own order allows,
-    then counted by key and part.
+    then counted (or summed) by key and part. A column among ``order`` says itself which way it goes.
     """
     from tidelog.plans.scratch import keep
 
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = [F.col(c).asc_nulls_last() for c in order]
+    by = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
     p, n, base = f"__{name}_part", f"__{name}_n", f"__{name}_base"
     laid = keep(df.repartitionByRange(parts, *(F.col(k).asc_nulls_last() for k in keys), *by).withColumn(p, F.spark_partition_id()), "ranges")
-    counts = laid.groupBy(*keys, p).agg(F.count(F.lit(1)).alias(n))
+    counts = laid.groupBy(*keys, p).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias(n))
     before = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*keys, p, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
     within = Window.partitionBy(*keys, p).orderBy(*by)
-    ranked = laid.withColumn(name, F.row_number().over(within).cast("long") - 1)
+    ranked = laid.withColumn(name, F.row_number().over(within).cast("long") - 1 if weight is None else F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0)))
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, p]]
     kept = [F.col(f"l.{c}") for c in df.columns]
     return ranked.alias("l").join(bases.alias("r"), on).select(*kept, (F.col(f"l.{name}") + F.col(f"r.{base}")).alias(name))

@@ -15,9 +15,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set where none is named, as in tests."""
+    """The cluster's shared folder. Where none is named, a local session gets a temporary one, as in tests; on a cluster, where the
+    driver's own disk is not shared, that is an error."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} has to name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")

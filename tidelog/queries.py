@@ -37,14 +37,23 @@ def query(sql: str | None, log: bool = True) -> Callable:
 # scans, positions, filters
 
 
+def _committed(spark: SparkSession, d: str) -> EventLog:
+    """The user log in a store, sorted by stream and version, so that a stream's scan skips what other files hold."""
+    from tidelog.plans.commit import LogStore
+
+    store = LogStore(spark, scratch_path(spark, "store"))
+    store.restore(user_log(spark, d).withColumn("occurred_at", F.col("occurred_at").cast("timestamp")))
+    return store.read()
+
+
 @query("SELECT stream_id, version, global_version, event_type, occurred_at FROM l WHERE stream_id = 'user-3'")
 def load_stream(spark: SparkSession, d: str) -> DataFrame:
-    return EventLog(user_log(spark, d)).load_stream("user-3").select("stream_id", "version", "global_version", "event_type", "occurred_at")
+    return _committed(spark, d).load_stream("user-3").select("stream_id", "version", "global_version", "event_type", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"))
 
 
 @query("SELECT stream_id, version, global_version, event_type FROM l WHERE stream_id = 'user-3' AND version > 20")
 def load_stream_from(spark: SparkSession, d: str) -> DataFrame:
-    return EventLog(user_log(spark, d)).load_stream_from("user-3", Revision(20)).select("stream_id", "version", "global_version", "event_type")
+    return _committed(spark, d).load_stream_from("user-3", Revision(20)).select("stream_id", "version", "global_version", "event_type")
 
 
 @query("SELECT stream_id, version, global_version, event_type, value FROM l WHERE global_version > 300")
@@ -508,21 +517,39 @@ def _spent(state: tuple) -> dict:
 @query("SELECT stream_id, max(version) AS version, count(*) FILTER (event_type = 'purchase') AS purchases, bool_or(event_type = 'signup') AS signed_up FROM l GROUP BY stream_id")
 def stateful_projection(spark: SparkSession, d: str) -> DataFrame:
     """A read model folded in the state store of a stream, event file by event file."""
-    from tidelog.streaming.projections import Projection, stateful
+    from tidelog.streaming.projections import Projection, rocks_state, stateful
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source = scratch_path(spark, "events")
     log = user_log(spark, d).select("stream_id", "version", "event_type")
-    for part in ("version <= 25", "version > 25"):
-        log.where(part).coalesce(1).write.mode("append").parquet(source)
-    events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for part in ("version <= 25", "version > 25"):  # each in so many files as a trigger takes
+        log.where(part).repartition(4, "stream_id").write.mode("append").parquet(source)
+    events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(source)
     model = Projection(spark, scratch_path(spark, "model"), "stream_id string, version long, purchases long, signed_up boolean")
     folded = stateful(events, "stream_id", "purchases long, signed_up boolean", "purchases long, signed_up boolean", (0, False), _spend, _spent)
-    stream = folded.writeStream.outputMode("update").option("checkpointLocation", scratch_path(spark, "checkpoint")).foreachBatch(lambda rows, batch: model.upsert(rows, batch)).trigger(availableNow=True).start()
-    stream.awaitTermination()
+    with rocks_state(spark):
+        stream = folded.writeStream.outputMode("update").option("checkpointLocation", scratch_path(spark, "checkpoint")).foreachBatch(lambda rows, batch: model.upsert(rows, batch)).trigger(availableNow=True).start()
+        stream.awaitTermination()
     return model.read()
 
 
+@query("""SELECT stream_id, moment + INTERVAL 3 DAY AS due_at FROM (SELECT stream_id, event_type, occurred_at AS moment, lead(occurred_at) OVER (PARTITION BY stream_id ORDER BY version) AS following
+FROM l WHERE event_type IN ('signup', 'error')) WHERE event_type = 'signup' AND (following IS NULL OR following >= moment + INTERVAL 3 DAY) AND moment + INTERVAL 3 DAY <= (SELECT max(occurred_at) FROM l)""")
+def delayed_timers(spark: SparkSession, d: str) -> DataFrame:
+    """Delayed actions by timers of a running stream: a signup is followed up after three days without an error or another signup."""
+    from datetime import timedelta
+
+    from tidelog.streaming.projections import delayed, rocks_state
+
+    source, sink = scratch_path(spark, "events"), scratch_path(spark, "actions")
+    log = user_log(spark, d).select("stream_id", "version", "event_type", F.col("occurred_at").cast("timestamp").alias("occurred_at"))
+    log.repartition(4, "stream_id").write.parquet(source)
+    events = spark.readStream.schema(log.schema).parquet(source)
+    with rocks_state(spark):
+        stream = delayed(events, "signup", "error", timedelta(days=3)).writeStream.outputMode("append").format("parquet").option("checkpointLocation", scratch_path(spark, "checkpoint")).option("path", sink).trigger(availableNow=True).start()
+        stream.awaitTermination()
+    return spark.read.schema("stream_id string, due_at timestamp").parquet(sink).select("stream_id", F.col("due_at").cast("timestamp_ntz").alias("due_at"))
+
+
 @query("SELECT name, count(*) AS events FROM l JOIN (SELECT 'all' AS name, NULL AS kind UNION ALL SELECT 'errors', 'error' UNION ALL SELECT 'sales', 'purchase') s ON s.kind IS NULL OR s.kind = l.event_type GROUP BY name")
 def fan_out(spark: SparkSession, d: str) -> DataFrame:
     """Each event to every subscription whose types it matches; no types are all."""

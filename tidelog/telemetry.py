@@ -8,10 +8,11 @@ import time
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.errors import RevisionConflict, RuleViolation, SkippedEvent
+from tidelog.plans.ranks import rank_sorted
 
 # Upper bounds in seconds of command durations, and of all others.
 COMMAND_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -112,11 +113,10 @@ def histogram(rows: DataFrame, value: str | Column, bounds: tuple[float, ...], *
 
 
 def in_flight(records: DataFrame, *labels: str) -> DataFrame:
-    """The number of calls under way after each start and end."""
+    """The number of calls under way after each start and end; a label with very many calls is summed in ranges of time."""
     starts = records.select(*labels, F.col("started").alias("moment"), F.lit(1).alias("step"))
     ends = records.select(*labels, (F.col("started") + F.col("seconds")).alias("moment"), F.lit(-1).alias("step"))
-    upto = Window.partitionBy(*labels).orderBy("moment", F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return starts.unionByName(ends).withColumn("in_flight", F.sum("step").over(upto))
+    return rank_sorted(starts.unionByName(ends), list(labels), ["moment", F.desc("step")], "in_flight", weight="step")
 
 
 class ObservedStore:
