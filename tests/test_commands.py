@@ -380,3 +380,91 @@ def test_stop_tells_who_waits_for_a_place():
         thread.join(10)
     results = [out[0] for _, out in waiting]
     assert sum(isinstance(r, BusClosed) for r in results) == 1 and len(slow.done) == 2  # what was taken is finished
+
+
+def test_spans_follow_calls_and_events(spark):
+    from tidelog.telemetry import attribute, current_trace, traced
+
+    recorder, seen = Recorder(), []
+    inner = traced(recorder, "store")(lambda m: seen.append(current_trace()))
+    traced(recorder, "command")(inner)(Add("a"))
+    traced(recorder, "event", parent=lambda m: m["traceparent"])(lambda m: None)({"traceparent": seen[0]})
+    rows = {r["kind"]: r["labels"] for r in recorder.table(spark).collect()}
+    assert rows["store"]["trace_id"] == rows["command"]["trace_id"] == rows["event"]["trace_id"]
+    assert rows["store"]["parent_id"] == rows["command"]["span_id"] and rows["event"]["parent_id"] == rows["store"]["span_id"] and rows["command"]["parent_id"] == ""
+    assert current_trace() == "" and attribute("event.id", "shop") == "shop.event.id"
+    with pytest.raises(ValueError):
+        attribute("event.ids")
+
+
+def test_a_processor_turns_events_into_decided_commands(spark, tmp_path):
+    from tidelog.streaming.subscribe import Subscriptions, processor
+
+    store = LogStore(spark, str(tmp_path / "log"))
+    store.append([{"stream_id": "order-1", "event_type": t} for t in ("Failed", "Paid", "Failed", "Failed")])
+    bus = CommandBus(2)
+
+    def at_most_two(state, command):
+        if state >= 2:
+            raise RuleViolation("two are enough")
+        return [{"event_type": "Opened", "payload": str(command.n)}]
+
+    bus.register(Add, CommandHandler(store, lambda: 0, lambda state, event: state + 1, at_most_two))
+    calls = []
+    subscriptions = Subscriptions(store)
+    subscriptions.use(lambda handler: lambda rows, batch: (calls.append(batch), handler(rows, batch))[1])
+    react = lambda event: [Add(f"case-{event['stream_id']}", event["global_version"])]
+    subscriptions.run("cases", processor(react, bus.dispatch), types=("Failed",))
+    bus.stop()
+    made = store.read().load_stream("case-order-1").collect()
+    assert [(r["event_type"], r["payload"]) for r in made] == [("Opened", "1"), ("Opened", "3")] and calls
+    assert subscriptions.listening() == [] and subscriptions.errors() == {}
+
+
+def test_memory_store(spark):
+    from tidelog.errors import InvalidBatch, StoreClosed
+    from tidelog.plans.commit import MemoryStore
+
+    store = MemoryStore(spark)
+    assert store.append([{"stream_id": "a", "event_type": "x"}, {"stream_id": "a", "event_type": "y"}], NO_STREAM).next_version == 2
+    assert store.append([{"stream_id": "b", "event_type": "z", "metadata": {"k": "v"}}]).next_version == 1 and store.append([]).successful
+    for state, error in ((NO_STREAM, StreamAlreadyExists), (Revision(1), RevisionConflict)):
+        with pytest.raises(error):
+            store.append([{"stream_id": "a", "event_type": "x"}], state)
+    with pytest.raises(StreamNotFound):
+        store.append([{"stream_id": "none", "event_type": "x"}], STREAM_EXISTS)
+    with pytest.raises(InvalidBatch):
+        store.append([{"stream_id": "a", "event_type": "x"}, {"stream_id": "b", "event_type": "x"}])
+    rows = store.read().load_all().collect()
+    assert [(r["stream_id"], r["version"], r["global_version"]) for r in rows] == [("a", 1, 1), ("a", 2, 2), ("b", 1, 3)] and store.head("a") == 2 and store.position() == 3
+    assert CommandHandler(store, lambda: 0, lambda s, e: s + 1, lambda s, c: [{"event_type": str(s)}])(Add("a")).next_version == 3
+    store.close()
+    with pytest.raises(StoreClosed):
+        store.append([{"stream_id": "a", "event_type": "x"}])
+
+
+def test_relational_tables(spark, tmp_path):
+    from tidelog.sources.logs import from_jdbc, to_jdbc
+
+    log = in_memory(spark, [{"event_id": f"e{i}", "stream_id": f"s{i % 3}", "aggregate_id": None, "version": i // 3 + 1, "global_version": i + 1, "event_type": "T", "payload": f'{{"i": {i}}}', "metadata": {"k": str(i)}} for i in range(20)])
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    to_jdbc(log, url)
+    for options in ({}, {"partitions": 4, "upper": 20}):
+        back = from_jdbc(spark, url, **options)
+        key = lambda df: sorted((r["event_id"], r["stream_id"], r["version"], r["global_version"], r["event_type"], r["payload"], r["metadata"]["k"]) for r in df.collect())
+        assert key(back.events) == key(log.events)
+    assert [r["global_version"] for r in from_jdbc(spark, url).load_stream_from("s1", Revision(5)).collect()] == [17, 20]
+
+
+def test_generators_end_and_fail(spark):
+    from tidelog.sources.logs import generated
+
+    rows = generated(spark, lambda i: ({"a": i, "b": str(k)} for k in range(i * 7)), 5, "a long, b string", batch=4).collect()
+    assert sorted((r["a"], r["b"]) for r in rows) == sorted((i, str(k)) for i in range(5) for k in range(i * 7))
+
+    def broken(i):
+        yield {"a": i}
+        raise RuntimeError("out of rows")
+
+    with pytest.raises(Exception, match="out of rows"):
+        generated(spark, broken, 2, "a long").collect()

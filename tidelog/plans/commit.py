@@ -18,10 +18,12 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tidelog.envelope import ANY, ENVELOPE, NO_STREAM, STREAM_EXISTS, AppendResult, Revision, StreamState
 from tidelog.errors import InvalidBatch, InvalidRevision, LogError, RevisionConflict, StoreClosed, StreamAlreadyExists, StreamNotFound
 from tidelog.plans.scratch import keep
-from tidelog.sources.logs import EventLog
+from tidelog.sources.logs import EventLog, in_memory
 
 
 @dataclass
@@ -52,6 +54,21 @@ class CommitRefused(LogError):
     """Another writer took the number."""
 
 
+def check_state(stream: str, expected: StreamState, head: int) -> None:
+    """Raise unless a stream with this head is as expected."""
+    if isinstance(expected, Revision):
+        if expected.code != head:
+            raise RevisionConflict(stream, expected.code, head)
+    elif expected == NO_STREAM:
+        if head:
+            raise StreamAlreadyExists(f"stream {stream!r} exists")
+    elif expected == STREAM_EXISTS:
+        if not head:
+            raise StreamNotFound(f"stream {stream!r} does not exist")
+    elif expected != ANY:
+        raise InvalidRevision(f"unknown stream state {expected!r}")
+
+
 class LogStore:
     #: Streams of one commit whose heads its manifest lists; commits with a table of heads until all heads are written; manifests of a chunk.
     LISTED_HEADS, DELTAS, CHUNK = 100, 16, 64
@@ -230,7 +247,7 @@ class LogStore:
         while True:
             known = list(self.manifests())
             head = self.head(stream)
-            self._expect(stream, expected, head)
+            check_state(stream, expected, head)
             base = known[-1].position if known else 0
             own = Window.partitionBy("stream_id").orderBy("batch_pos")
             at = F.row_number().over(own).cast("long")
@@ -270,7 +287,7 @@ class LogStore:
                 first = wrong.orderBy("stream_id").first()
                 if first:
                     code = first["expected"]
-                    self._expect(first["stream_id"], Revision(code) if code > 0 else StreamState(code), first["head"])
+                    check_state(first["stream_id"], Revision(code) if code > 0 else StreamState(code), first["head"])
             if not count:
                 return heads.limit(0)
             touched = keep(sizes.join(heads, "stream_id", "left").select("stream_id", F.coalesce("head", F.lit(0)).alias("head"), "__n"), "touched")
@@ -325,19 +342,6 @@ class LogStore:
         out = rows.withColumns({c: F.coalesce(F.col(c), v) if c in rows.columns else v for c, v in defaults.items()})
         return out if "batch_pos" in out.columns else out.withColumn("batch_pos", F.monotonically_increasing_id())
 
-    def _expect(self, stream: str, expected: StreamState, head: int) -> None:
-        if isinstance(expected, Revision):
-            if expected.code != head:
-                raise RevisionConflict(stream, expected.code, head)
-        elif expected == NO_STREAM:
-            if head:
-                raise StreamAlreadyExists(f"stream {stream!r} exists")
-        elif expected == STREAM_EXISTS:
-            if not head:
-                raise StreamNotFound(f"stream {stream!r} does not exist")
-        elif expected != ANY:
-            raise InvalidRevision(f"unknown stream state {expected!r}")
-
     def _write(self, rows: DataFrame, raw: bool = False) -> list[str]:
         """Write invisible files; names relative to ``data/``."""
         label = uuid.uuid4().hex
@@ -356,3 +360,51 @@ class LogStore:
                     raise
                 time.sleep(pause * 2**i)
         raise AssertionError
+
+
+class MemoryStore:
+    """A small log in the driver's memory, for tests and tools: appends as ``LogStore`` does them, reads as a DataFrame."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.closed = spark, False
+        self._rows: list[dict] = []
+        self._heads: dict[str, int] = {}
+        self._lock = threading.Lock()
+
+    def close(self) -> None:
+        self.closed = True
+
+    def append(self, rows: list[dict], expected: StreamState = ANY) -> AppendResult:
+        """All events of one stream, or none."""
+        with self._lock:
+            if self.closed:
+                raise StoreClosed("memory")
+            if not rows:
+                return AppendResult(True, "", 0)
+            streams = {r.get("stream_id") for r in rows}
+            if len(streams) > 1 or None in streams:
+                raise InvalidBatch("the events of a batch belong to one stream")
+            stream = streams.pop()
+            head = self._heads.get(stream, 0)
+            check_state(stream, expected, head)
+            now = datetime.now(timezone.utc)
+            for i, r in enumerate(rows, 1):
+                filled = {"event_id": str(uuid.uuid4()), "aggregate_id": stream, "metadata": {}, "occurred_at": now, "payload": None}
+                filled |= {k: v for k, v in r.items() if v is not None}
+                self._rows.append(filled | {"version": head + i, "global_version": len(self._rows) + 1})
+            self._heads[stream] = head + len(rows)
+            return AppendResult(True, stream, head + len(rows))
+
+    def head(self, stream_id: str) -> int:
+        with self._lock:
+            return self._heads.get(stream_id, 0)
+
+    def position(self) -> int:
+        with self._lock:
+            return len(self._rows)
+
+    def read(self) -> EventLog:
+        with self._lock:
+            if self.closed:
+                raise StoreClosed("memory")
+            return in_memory(self.spark, list(self._rows))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,9 +13,9 @@ from tidelog.errors import RuleViolation
 from tidelog.operators import decide, fold, windows
 from tidelog.plans.scratch import keep, scratch_path
 from tidelog.registry import EventRegistry
-from tidelog.sources.logs import EventLog, envelope_defaults
+from tidelog.sources.logs import EventLog, envelope_defaults, generated
 from tidelog.sources.tables import conversation_log, order_log, table, user_log
-from tidelog.telemetry import counters, histogram, in_flight
+from tidelog.telemetry import counters, histogram, in_flight, trace_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -330,6 +330,25 @@ def causation_join(spark: SparkSession, d: str) -> DataFrame:
     return child.join(parent, "cause_id").groupBy("cause", "effect").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT trace, event_id, global_version, first_value(event_id) OVER (PARTITION BY trace ORDER BY global_version) AS producer_id FROM (SELECT *, user_id || '/' || CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS trace FROM l WHERE event_type <> 'view')")
+def trace_join(spark: SparkSession, d: str) -> DataFrame:
+    """Events of one trace with the event that began it."""
+    log = user_log(spark, d)
+    trace = F.when(F.col("event_type") != "view", F.concat_ws("/", "aggregate_id", F.col("occurred_at").cast("date").cast("string"))).otherwise("")
+    return trace_links(log.withColumn("metadata", fn.merge_metadata("metadata", F.create_map(F.lit("correlation_id"), trace))))
+
+
+def _counted(partition: int) -> Iterator[dict]:
+    for i in range(partition * 3):
+        yield {"stream_id": f"gen-{partition}", "version": i + 1, "event_type": "Counted"}
+
+
+@query("SELECT 'gen-' || p AS stream_id, CAST(unnest(range(1, p * 3 + 1)) AS BIGINT) AS version, 'Counted' AS event_type FROM range(8) t(p)", log=False)
+def generated_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log that a user's generator makes, partition by partition."""
+    return generated(spark, _counted, 8, "stream_id string, version long, event_type string")
+
+
 # commands
 
 _COMMANDS = """, c AS (SELECT command_id, 'user-' || command_id AS stream_id, CASE command_id % 4 WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 60 ELSE -2 END AS expected

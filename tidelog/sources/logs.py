@@ -7,10 +7,13 @@ aggregate on the filtered stream, never a count of the result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidelog.envelope import ANY, ENVELOPE, NO_STREAM, STREAM_EXISTS, Revision, StreamState
 from tidelog.errors import InvalidRevision, StreamAlreadyExists, StreamNotFound
@@ -144,6 +147,21 @@ def in_memory(spark: SparkSession, rows: list[dict]) -> EventLog:
     return EventLog(spark.createDataFrame(filled, ENVELOPE))
 
 
+def generated(spark: SparkSession, make: Callable[[int], Iterable[dict]], partitions: int, schema: str, batch: int = 1000) -> DataFrame:
+    """Rows of a user's generator: ``make(i)`` gives the rows of partition i as dicts, until it ends. They are made on the executors, ``batch`` at a
+    time; an error of the generator fails the read. A partition that is lost is made again, so a generator should give the same rows each time."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids in batches:
+            for i in ids["id"]:
+                source = iter(make(int(i)))
+                while chunk := list(itertools.islice(source, batch)):
+                    yield pd.DataFrame(chunk, columns=names)
+
+    names = StructType.fromDDL(schema).fieldNames()
+    return spark.range(0, partitions, 1, partitions).mapInPandas(rows, schema)
+
+
 def from_parquet(spark: SparkSession, *paths: str) -> EventLog:
     return EventLog(spark.read.schema(ENVELOPE).parquet(*paths))
 
@@ -181,3 +199,16 @@ def from_jdbc(spark: SparkSession, url: str, table: str = "events", partitions:
             F.col("id").cast("long").alias("global_version"), "event_type", text("payload").alias("payload"), meta.alias("metadata"), F.col("occurred_at").cast("timestamp").alias("occurred_at"),
         )
     )
+
+
+def to_jdbc(log: EventLog, url: str, table: str = "events", **options: str) -> None:
+    """Append a log to a relational table, in the columns that ``from_jdbc`` reads; metadata and payload as JSON text.
+
+    The table's unique key on (stream_id, stream_position) refuses events that it has already.
+    """
+    rows = log.events.select(
+        F.col("global_version").alias("id"), "event_id", "stream_id", F.col("version").alias("stream_position"), "event_type", "payload",
+        F.to_json("metadata").alias("metadata"), "occurred_at",
+    )
+    kinds = "event_id VARCHAR(64), stream_id VARCHAR(255), event_type VARCHAR(255)"  # of a table that is not there yet
+    rows.write.format("jdbc").option("url", url).option("dbtable", table).option("createTableColumnTypes", kinds).options(**options).mode("append").save()

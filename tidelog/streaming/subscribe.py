@@ -18,6 +18,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,19 @@ class Subscriptions:
         self.store, self.spark = store, store.spark
         self.folder = (folder or f"{store.path}/subscriptions").rstrip("/")
         self._active: dict[str, Subscription] = {}
+        self._middleware: list[Callable[[Handler], Handler]] = []
+
+    def use(self, *middleware: Callable[[Handler], Handler]) -> None:
+        """Wrap the handlers of subscriptions that start from now on; the first one added is outermost."""
+        self._middleware += middleware
+
+    def listening(self) -> list[str]:
+        """Names that run in this process."""
+        return [n for n, s in self._active.items() if s.query and s.query.isActive]
+
+    def errors(self) -> dict[str, list[str]]:
+        """What went wrong, by name."""
+        return {n: list(s.errors) for n, s in self._active.items() if s.errors}
 
     def subscribe(
         self,
@@ -90,6 +104,8 @@ class Subscriptions:
             raise ValueError("a subscription needs a handler")
         if name in self._active and self._active[name].query and self._active[name].query.isActive:
             raise DuplicateHandler(f"subscription {name!r} is active")
+        for layer in reversed(self._middleware):
+            handler = layer(handler)
         sub = Subscription(name, handler, tuple(types), tuple(prefixes), start, commits_per_batch, dead_letters, lease_seconds)
         if not self._take(sub):
             raise DuplicateHandler(f"subscription {name!r} runs in another process")
@@ -227,6 +243,25 @@ class Subscriptions:
         return json.loads(self.store._text(f"{self.folder}/{name}/cursor/{names[-1]}"))
 
 
+def processor(react: Callable[[Any], Iterable[Any]], dispatch: Callable[[Any], Any]) -> Handler:
+    """A handler that turns events into commands and has them decided, in the order of the log.
+
+    ``react(event)`` gives the commands of an event (none: passed over); ``dispatch`` is that of a command bus or a command handler. A command that a
+    rule rejects counts as handled; any other error leaves the batch to come again, so commands should bear being given twice.
+    """
+
+    def handler(events: DataFrame, batch: int) -> None:
+        for event in events.toLocalIterator():
+            for command in react(event):
+                try:
+                    dispatch(command)
+                except Exception as e:
+                    if not getattr(e, "rejects", False):
+                        raise
+
+    return handler
+
+
 def spooled(path: str) -> Handler:
     """A handler that leaves each batch as JSON lines in a folder of its own; the same batch again replaces it."""
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import logging
 import threading
 import time
+import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +15,40 @@ from pyspark.sql import functions as F
 
 from tidelog.errors import RevisionConflict, RuleViolation, SkippedEvent
 from tidelog.plans.ranks import rank_sorted
+from tidelog.plans.skew import spread_join
 
 # Upper bounds in seconds of command durations, and of all others.
 COMMAND_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 OTHER_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 
+# Names of what records and spans are labelled with; programs put a prefix of their own in front.
+ATTRIBUTES = (
+    "command.type",
+    "aggregate.id",
+    "stream.id",
+    "stream.version",
+    "event.type",
+    "event.id",
+    "events.count",
+    "event.global_position",
+    "event.stream_position",
+    "query.type",
+    "query.id",
+    "query.result_type",
+    "query.result_count",
+    "subscriber.name",
+    "handler.name",
+    "result",
+    "error.type",
+    "error.message",
+    "retry.count",
+    "retry.max",
+    "operation",
+    "conflict.type",
+    "shard.id",
+    "queue.depth",
+)
+
 SCHEMA = "kind string, name string, operation string, result string, error string, events long, started double, seconds double, conflict boolean, labels map<string,string>"
 
 
@@ -99,6 +130,54 @@ def stamped(handler_metadata: dict[str, str], **more: str) -> dict[str, str]:
     return {**handler_metadata, **{k: v for k, v in more.items() if v}}
 
 
+def attribute(name: str, prefix: str = "") -> str:
+    """A label by its fixed name; a name that is none of these is an error, so labels are the same everywhere."""
+    if name not in ATTRIBUTES:
+        raise ValueError(f"{name!r} is no attribute")
+    return f"{prefix}.{name}" if prefix else name
+
+
+_span: ContextVar[tuple[str, str] | None] = ContextVar("span", default=None)
+
+
+def traced(recorder: Recorder, kind: str, parent: Callable[[Any], str] | None = None, **labels: Callable[[Any], str]) -> Callable:
+    """Middleware that records each call as a span: labels trace_id, span_id and parent_id.
+
+    A call inside another one is its child. ``parent`` reads the producer's ``<trace>-<span>`` from a message (such as the ``traceparent`` of an event's
+    metadata): the call then belongs to that trace. ``current_trace`` is what to stamp new events with.
+    """
+
+    def layer(handler: Callable[[Any], Any]) -> Callable[[Any], Any]:
+        def call(message: Any) -> Any:
+            outer = _span.get()
+            linked = parent(message) if parent else ""
+            trace, above = tuple(linked.split("-", 1)) if linked else outer or (uuid.uuid4().hex, "")
+            token = _span.set((trace, uuid.uuid4().hex[:16]))
+            ids = {"trace_id": lambda _: trace, "span_id": lambda _, own=_span.get(): own[1], "parent_id": lambda _: above}
+            try:
+                return timed(recorder, kind, **{**labels, **ids})(handler)(message)
+            finally:
+                _span.reset(token)
+
+        return call
+
+    return layer
+
+
+def current_trace() -> str:
+    """``<trace>-<span>`` of the call under way, empty outside of one."""
+    now = _span.get()
+    return "-".join(now) if now else ""
+
+
+def trace_links(log: DataFrame, key: str = "correlation_id") -> DataFrame:
+    """trace, event_id, global_version, producer_id: each event of a trace with the event that began it. Events without the key have
+    no trace. A trace of very many events is joined in several tasks."""
+    traced_ = log.select(F.element_at("metadata", key).alias("trace"), "event_id", "global_version").where("trace is not null and trace != ''")
+    first = traced_.groupBy("trace").agg(F.min_by("event_id", "global_version").alias("producer_id"), F.count(F.lit(1)).alias("n"))
+    return spread_join(traced_, first, ["trace"], "n", F.col("global_version")).select("trace", "event_id", "global_version", "producer_id")
+
+
 def counters(records: DataFrame, *labels: str) -> DataFrame:
     """calls, failures, conflicts and events by label."""
     return records.groupBy(*labels).agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("result") == "failure").alias("failures"), F.count_if("conflict").alias("conflicts"), F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
