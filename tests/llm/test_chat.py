@@ -110,3 +110,52 @@ def test_sql_has_the_same_rows(spark, build, tmp_path):
     out = conversations(table)
     wanted = con.sql(f"SELECT {', '.join(out.columns)} FROM ({CHAT})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, wanted))
+
+
+REWRAPPED = [
+    (1, 0, "user", "The first line of a paragraph\nthat goes on here.\n\nAnother one."),
+    (1, 1, "assistant", "A whole body that is\nwrapped by hand\n\nin two paragraphs."),
+    (1, 2, "user", "> The first line of\n> a paragraph that goes on here.\nYes."),  # a paragraph, wrapped anew
+    (1, 3, "user", "> A whole body that is wrapped\n> by hand in two\n> paragraphs.\nRight."),  # a whole body
+    (1, 4, "user", "> > The first line of a paragraph that goes on here.\n> Yes.\nNo."),  # a paragraph on one line, and a line
+    (1, 5, "user", "> wrapped by hand\n> and something else\nPart."),  # one line of a passage that is nowhere
+    (1, 6, "user", "> The first line of\n>\n> a paragraph that goes on here.\nApart."),  # a blank line ends a passage
+]
+
+
+def test_passages_that_were_wrapped_anew(build):
+    out = by_turn(conversations(build(REWRAPPED)))
+    assert [out[1, t]["parent_turn"] for t in range(7)] == [None, None, 0, 1, 2, 1, None]
+    assert [out[1, t]["n_linked"] for t in range(7)] == [0, 0, 2, 3, 2, 1, 0] and [out[1, t]["n_quoted"] for t in range(7)] == [0, 0, 2, 3, 2, 2, 2]
+
+
+def test_sql_of_passages(spark, build, tmp_path):
+    import random
+
+    import duckdb
+
+    from tidelog.llm.sql import CHAT
+
+    rng = random.Random(3)
+    rows = [*REWRAPPED]
+    for c in range(2, 6):
+        for t in range(10):
+            lines = []
+            for _ in range(rng.randint(1, 5)):
+                words = " ".join(rng.choice("ab") for _ in range(rng.randint(0, 3)))
+                lines.append(rng.choice(["", "", "> ", ">> "]) + words)
+            rows.append((c, t, "user", "\n".join(lines)))
+    table = build(rows)
+    table.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    out = conversations(table)
+    wanted = con.sql(f"SELECT {', '.join(out.columns)} FROM ({CHAT})").fetchall()
+    assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, wanted))
+
+
+def test_a_very_long_quotation(build):
+    lines = [f"line {i} of it" for i in range(30_000)]
+    rows = [(1, 0, "user", "\n".join(lines)), (1, 1, "user", "\n".join("> " + " ".join(lines[i : i + 2]) for i in range(0, 30_000, 2)) + "\nSo?")]
+    out = by_turn(conversations(build(rows)))
+    assert (out[1, 1]["parent_turn"], out[1, 1]["n_linked"], out[1, 1]["text"]) == (0, 15_000, "So?")

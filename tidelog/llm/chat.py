@@ -1,8 +1,10 @@
 """Chat formatting by quotation linking, in DataFrame functions alone.
 
-Lines that begin with ``>`` are quotes; the number of ``>`` before the text is the level. The text of a line is normalised
-(markers and repeated white space away, lower case) and hashed, and each quoted line is linked to the latest earlier
-message of its conversation that has the line as its own. The message that most lines of level 1 link to (ties: the later) is
+Lines that begin with ``>`` are quotes; the number of ``>`` before the text is the level. Consecutive lines of one level are a
+passage; blank lines end one. The text of a line is normalised (markers and repeated white space away, lower case) and hashed, and so
+is that of a passage, with its lines folded into one. Each quoted line is linked to the latest earlier message of its conversation that has
+the line as its own: as a line, a paragraph or its whole body; a line that none has goes where its passage is found, so a quotation that was
+wrapped anew is linked too. The message that most lines of level 1 link to (ties: the later) is
 the one replied to. Messages lose their quotes and are put in reply order: by the first message of the chain of
 replies they are in, then by turn; a reply stands after what it replies to.
 
@@ -10,7 +12,8 @@ The latest earlier message is a running maximum, in blocks of turns with the max
 common line nor a long conversation makes pairs or one task. Positions come from a range-partitioned layout.
 
 Null texts are empty; a null role is ``unknown``; rows without conversation or turn are formatted and get a position, but are not
-linked (null conversations count as one, null turns stand last). Repeated rows each stay. An empty table gives no rows. Columns of other names are not carried.
+linked (null conversations count as one, null turns stand last). Messages of any length are read whole, in time that grows with their lines. Repeated
+rows each stay. An empty table gives no rows. Columns of other names are not carried.
 """
 
 from __future__ import annotations
@@ -39,32 +42,46 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"^[\s>]*", ""), r"\s+", " ")))
 
 
+#: Consecutive lines of one level, written as level, tab, text; without backtracking, so that very long ones need no deep stack.
+_PASSAGE = r"(?md)^(\d+)\t[^\n]++(?:\n\1\t[^\n]++)*+"
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """uid, conv_id, turn, role, lines (level and text of each line)."""
+    """uid, conv_id, turn, role, lines (level and text of each line), passages (level, hash of each line, hash of all), body (hash of the own text)."""
     lines = F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x: F.struct(level(x).alias("level"), x.alias("line")))
-    return messages.select(F.monotonically_increasing_id().alias("uid"), "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), lines.alias("lines"))
+    marked = F.array_join(F.transform("lines", lambda x: F.concat(x["level"].cast("string"), F.lit("\t"), normalised(x["line"]))), "\n")
+    folded = lambda run: F.replace(F.regexp_replace(run, r"(?md)^\d+\t", ""), F.lit("\n"), F.lit(" "))
+    hashes = lambda run: F.transform(F.split(run, "\n"), lambda x: F.xxhash64(F.regexp_replace(x, r"^\d+\t", "")))
+    passages = F.transform("runs", lambda run: F.struct(F.regexp_extract(run, r"^(\d+)", 1).cast("int").alias("level"), hashes(run).alias("lines"), F.xxhash64(folded(run)).alias("whole")))
+    body = F.xxhash64(F.array_join(F.transform(F.filter("runs", lambda run: run.startswith("0\t")), folded), " "))
+    own = messages.select(F.monotonically_increasing_id().alias("uid"), "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), lines.alias("lines"))
+    found = own.withColumn("runs", F.regexp_extract_all(marked, F.lit(_PASSAGE), 0))
+    return found.withColumn("passages", passages).withColumn("body", body).drop("runs")
 
 
 def link_quotes(parsed: DataFrame) -> DataFrame:
     """uid, conv_id, turn, level, n, to_turn: quoted lines by the turn they link to (null: to none)."""
-    units = (
-        parsed.where("conv_id is not null and turn is not null")
-        .select("uid", "conv_id", "turn", F.explode("lines").alias("l"))
-        .select("uid", "conv_id", "turn", F.col("l.level").alias("level"), normalised(F.col("l.line")).alias("norm"))
-        .where("norm != ''")
-        .select("uid", "conv_id", "turn", "level", F.xxhash64("norm").alias("h"))
-    )
-    units = keep(units, "units")  # read four times below
-    quoted = units.where("level > 0")
-    own = units.where("level = 0").join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
-    both = quoted.unionByName(own).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS)).withColumn("own_turn", F.when(F.col("level") == 0, F.col("turn")))
+    place = ["uid", "conv_id", "turn"]
+    known = parsed.where("conv_id is not null and turn is not null")
+    passages = known.select(*place, "body", F.posexplode("passages").alias("run", "p")).select(*place, "body", "run", "p.level", "p.lines", "p.whole")
+    passages = keep(passages, "units")  # read several times below
+    lines = passages.select(*place, "run", "level", "whole", F.size("lines").alias("k"), F.posexplode("lines").alias("i", "h"))
+    quoted = lines.where("level > 0")
+    line = [*place, "level", "run", "i"]
+    asked = quoted.select(*line, F.lit(0).alias("by"), "h").unionByName(quoted.where("k > 1").select(*line, F.lit(1).alias("by"), F.col("whole").alias("h")))
+    mine = passages.where("level = 0")
+    own = lines.where("level = 0").select("conv_id", "turn", "h").unionByName(mine.select("conv_id", "turn", F.col("whole").alias("h"))).unionByName(mine.select("conv_id", "turn", F.col("body").alias("h")).distinct())
+    own = own.join(asked.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").withColumn("own_turn", F.col("turn"))
+    both = asked.withColumn("own_turn", F.lit(None).cast("long")).unionByName(own, allowMissingColumns=True).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
     key = ["conv_id", "h"]
     ends = both.groupBy(*key, "block").agg(F.max("own_turn").alias("top"))
     before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = ends.select(*key, "block", F.max("top").over(before).alias("ahead"))
     inside = Window.partitionBy(*key, "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("within", F.max("own_turn").over(inside)).where("level > 0").join(ahead, [*key, "block"], "left")
-    return seen.withColumn("to_turn", F.greatest("within", "ahead")).groupBy("uid", "conv_id", "turn", "level", "to_turn").agg(F.count(F.lit(1)).alias("n"))
+    seen = both.withColumn("within", F.max("own_turn").over(inside)).where("level > 0").join(ahead, [*key, "block"], "left").withColumn("to", F.greatest("within", "ahead"))
+    way = lambda by: F.max(F.when(F.col("by") == by, F.col("to")))
+    found = seen.groupBy(*line).agg(F.coalesce(way(0), way(1)).alias("to_turn"))
+    return found.groupBy(*place, "level", "to_turn").agg(F.count(F.lit(1)).alias("n"))
 
 
 def reply_roots(replies: DataFrame) -> DataFrame:

@@ -59,7 +59,12 @@ pairs AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.
 CHAT = r"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS uid, conv_id, turn, coalesce(role, 'unknown') AS role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
 l AS (SELECT uid, conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM m),
 p AS (SELECT *, length(mk) - length(replace(mk, '>', '')) AS level, lower(trim(regexp_replace(regexp_replace(line, '^[\s>]*', ''), '\s+', ' ', 'g'))) AS norm FROM (SELECT *, regexp_extract(line, '^[\s>]*') AS mk FROM l)),
-q AS (SELECT uid, conv_id, turn, level, (SELECT max(o.turn) FROM p o WHERE o.level = 0 AND o.conv_id = x.conv_id AND o.norm = x.norm AND o.turn < x.turn) AS to_turn FROM p x WHERE level > 0 AND norm <> ''),
+b AS (SELECT *, CASE WHEN norm <> '' AND lag(norm) OVER w <> '' AND lag(level) OVER w = level THEN 0 ELSE 1 END AS brk FROM p WINDOW w AS (PARTITION BY uid ORDER BY i)),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY uid ORDER BY i) AS run FROM b),
+r AS (SELECT uid, conv_id, turn, run, level, string_agg(norm, ' ' ORDER BY i) AS folded FROM g WHERE norm <> '' GROUP BY uid, conv_id, turn, run, level),
+u AS (SELECT conv_id, turn, norm AS t FROM p WHERE level = 0 AND norm <> '' UNION SELECT conv_id, turn, folded FROM r WHERE level = 0 UNION SELECT conv_id, turn, string_agg(norm, ' ' ORDER BY i) FROM p WHERE level = 0 AND norm <> '' GROUP BY uid, conv_id, turn),
+q AS (SELECT x.uid, x.conv_id, x.turn, x.level, coalesce((SELECT max(o.turn) FROM u o WHERE o.conv_id = x.conv_id AND o.t = x.norm AND o.turn < x.turn), (SELECT max(o.turn) FROM u o WHERE o.conv_id = x.conv_id AND o.t = r.folded AND o.turn < x.turn)) AS to_turn
+FROM g x JOIN r ON r.uid = x.uid AND r.run = x.run WHERE x.level > 0 AND x.norm <> ''),
 votes AS (SELECT uid, conv_id, turn, to_turn, count(*) AS n FROM q WHERE level = 1 AND to_turn IS NOT NULL GROUP BY ALL),
 par AS (SELECT uid, conv_id, turn, arg_max(to_turn, n * 1000000 + to_turn) AS parent FROM votes GROUP BY ALL),
 chain(uid, conv_id, up) AS (SELECT uid, conv_id, parent FROM par UNION SELECT chain.uid, chain.conv_id, par.parent FROM chain JOIN par ON par.conv_id = chain.conv_id AND par.turn = chain.up),
