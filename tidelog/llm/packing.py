@@ -7,8 +7,9 @@ windows in one state are filled at once. The plan says, for ranks of a length, w
 number of rows bounded by the window size (a few for each length and window state), not by the corpus. Pieces
 are ranked by length without a global sort: tasks count as they encode, and the counts are summed up.
 
-A null or empty text is the end id alone. Repeated rows are packed each. An empty table has no pieces. Texts are
-encoded whole. Extra columns are not carried.
+A null or empty text is the end id alone. Repeated rows are packed each, a null id is packed as any. An empty table has no pieces. Texts are
+encoded whole, a slice at a time. Pieces of one length are interchangeable: among them the order of tasks and rows decides, and between
+open windows of one capacity the one opened last. Extra columns are not carried, so their names may be any.
 """
 
 from __future__ import annotations

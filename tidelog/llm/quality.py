@@ -5,7 +5,7 @@ rules, applied to a ledger with one bitwise and; ablations (what a policy would
 bitwise aggregates of the same ledger. No text is read again for either.
 
 Defined cases: a null or empty text has no words, all measures 0, and fails ``few_words``; repeated rows each
-get a row; an empty table gives an empty ledger; columns of the input other than the id and the text are
+get a row; of equal lines or windows the first is counted by the rule that names it, so there are no ties; an empty table gives an empty ledger; columns of the input other than the id and the text are
 not carried, so clashing names do no harm; texts are measured whole, whatever their length.
 """
 
