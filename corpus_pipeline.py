@@ -1,7 +1,12 @@
 """A corpus in five stages: quality rules, near-duplicates, personal data, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; ``run`` writes each
-stage's rows to the shared folder and reads them again for the next.
+stage's rows to the shared folder and reads them again for the next. All stages but the last keep the columns of documents, whatever others
+there are and whatever their names.
+
+Null or empty texts fail the quality rules, so later stages see none; should they get any, near-duplicates keeps them (they are in no group), redaction
+and packing leave them empty, and mixing takes none. Rows without an id are in no group and go on; of rows that share one, one goes on. Of a
+group the smallest id stays, so there are no ties; of equal rows one stays. Long texts are handled whole. An empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
