@@ -70,6 +70,21 @@ def test_long_ranges_hash_alike_in_pieces():
     assert whole(data, starts, ends).tolist() == pieces(data, starts, ends).tolist()
 
 
+def test_same_bytes():
+    from tidelog.llm.words import same_bytes
+
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 2, 400).astype(np.uint8)
+    starts, other = rng.integers(0, 300, 80), rng.integers(0, 300, 80)
+    size, its = rng.integers(1, 9, 80), rng.integers(1, 9, 80)
+    its[::2] = size[::2]
+    starts[0], other[0], size[0], its[0] = 5, 5, 90, 90
+    wanted = [data[a : a + n].tolist() == data[b : b + m].tolist() for a, n, b, m in zip(starts, size, other, its, strict=True)]
+    for at_once in (1, 7, 50, 1 << 22):
+        assert same_bytes(data, starts, starts + size, data, other, other + its, at_once).tolist() == wanted
+        assert same_bytes(data, starts, starts + size, data.copy(), other, other + its, at_once).tolist() == wanted
+
+
 def test_ranges_that_only_share_a_hash_are_told_apart():
     from tidelog.llm.words import distinct
 

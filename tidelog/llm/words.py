@@ -75,15 +75,22 @@ class Hasher:
         return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
-    """Whether range i of data is equal to range i of other."""
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+    """Whether range i of data is equal to range i of other; so many bytes are compared at once, or one range."""
     size = ends - starts
     out = size == other_ends - other_starts
-    fit = np.flatnonzero(out)
-    if len(fit):
-        wrong = np.flatnonzero(data[ranges(starts[fit], size[fit])] != other[ranges(other_starts[fit], size[fit])])
-        if len(wrong):
-            out[fit[np.searchsorted(np.cumsum(size[fit]), wrong, side="right")]] = False
+    fit = np.flatnonzero(out & ((starts != other_starts) | (data is not other)))
+    until, i = np.cumsum(size[fit]), 0
+    while i < len(fit):
+        j = max(i + 1, int(np.searchsorted(until, until[i] - size[fit[i]] + at_once, side="right")))
+        own = fit[i:j]
+        if j == i + 1:
+            out[own] = np.array_equal(data[starts[own[0]] : ends[own[0]]], other[other_starts[own[0]] : other_ends[own[0]]])
+        else:
+            wrong = np.flatnonzero(data[ranges(starts[own], size[own])] != other[ranges(other_starts[own], size[own])])
+            if len(wrong):
+                out[own[np.searchsorted(np.cumsum(size[own]), wrong, side="right")]] = False
+        i = j
     return out
 
 
