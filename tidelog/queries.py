@@ -577,3 +577,127 @@ def fan_out(spark: SparkSession, d: str) -> DataFrame:
     wanted = {"all": (), "errors": ("error",), "sales": ("purchase",)}
     subscriptions = [Subscription(name, lambda rows, batch: None, types=kinds) for name, kinds in wanted.items()]
     return dealt(user_log(spark, d), subscriptions).groupBy("name").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _halves(spark: SparkSession, d: str):  # noqa: ANN202
+    """An empty store, and the user log in two parts that cut every stream."""
+    from tidelog.plans.commit import LogStore
+
+    log = user_log(spark, d).withColumn("occurred_at", F.col("occurred_at").cast("timestamp")).withColumn("__order", F.col("global_version"))
+    return LogStore(spark, scratch_path(spark, "store")), (log.where("version <= 25"), log.where("version > 25"))
+
+
+@query("SELECT event_type AS kind, count(*) AS n, min(version) AS low, max(version) AS high FROM l GROUP BY 1 UNION ALL SELECT 'unreadable', 2, NULL, NULL")
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A log written as JSON lines and read again, beside two lines that are none: these are shown, not skipped."""
+    from tidelog.sources.logs import from_json, to_json
+
+    path = scratch_path(spark, "lines")
+    to_json(EventLog(user_log(spark, d).drop("value")), path)
+    spark.createDataFrame([("{broken",), ('{"no": "event"}',)], "value string").write.mode("append").text(path)
+    log, bad = from_json(spark, path)
+    good = log.events.groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("version").alias("low"), F.max("version").alias("high"))
+    none = F.lit(None).cast("long")
+    return good.unionByName(bad.agg(F.lit("unreadable").alias("kind"), F.count(F.lit(1)).alias("n"), none.alias("low"), none.alias("high")))
+
+
+@query("SELECT 1 AS run, count(*) AS events, min(version) AS low, max(version) AS high FROM l WHERE version <= 25 UNION ALL SELECT 2, count(*), min(version), max(version) FROM l WHERE version > 25")
+def resumed_subscription(spark: SparkSession, d: str) -> DataFrame:
+    """A subscription that ran before goes on where it was: the second run gets what came since, and nothing twice."""
+    from tidelog.streaming.subscribe import Subscriptions
+
+    store, parts = _halves(spark, d)
+    path = scratch_path(spark, "delivered")
+    for run, part in enumerate(parts, 1):
+        store.append_all(part, ["__order"])
+        Subscriptions(store).run("reader", lambda rows, batch, run=run: rows.select(F.lit(run).alias("run"), "version").write.mode("append").parquet(path))
+    got = spark.read.schema("run int, version long").parquet(path)
+    return got.groupBy("run").agg(F.count(F.lit(1)).alias("events"), F.min("version").alias("low"), F.max("version").alias("high"))
+
+
+@query("SELECT 'handled' AS way, event_type, count(*) AS events FROM l WHERE version <= 25 GROUP BY event_type UNION ALL SELECT 'dead letter', event_type, count(*) FROM l WHERE version > 25 GROUP BY event_type")
+def dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Batches that a handler fails on go to a table with the error, and the subscription goes on."""
+    from tidelog.streaming.subscribe import Subscriptions
+
+    store, parts = _halves(spark, d)
+    for part in parts:
+        store.append_all(part, ["__order"])
+    path, dead = scratch_path(spark, "handled"), scratch_path(spark, "dead")
+
+    def handler(rows: DataFrame, batch: int) -> None:
+        if batch:
+            raise ValueError("not this one")
+        rows.write.mode("overwrite").parquet(path)
+
+    Subscriptions(store).run("careful", handler, commits_per_batch=1, dead_letters=dead)
+    both = spark.read.parquet(path).select(F.lit("handled").alias("way"), "event_type").unionByName(spark.read.parquet(dead).where("error = 'not this one'").select(F.lit("dead letter").alias("way"), "event_type"))
+    return both.groupBy("way", "event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("SELECT event_type, count(*) AS events, CAST(sum(CAST(json_extract_string(payload, '$.k') AS BIGINT)) AS BIGINT) AS k FROM l WHERE event_type IN ('purchase', 'signup') GROUP BY 1")
+def routed_types(spark: SparkSession, d: str) -> DataFrame:
+    """Typed rows to the handler of their type; the subscription reads the types that have one."""
+    from tidelog.registry import Router
+    from tidelog.streaming.subscribe import Subscriptions
+
+    store, parts = _halves(spark, d)
+    store.append_all(parts[0].unionByName(parts[1]), ["__order"])
+    path, router = scratch_path(spark, "routed"), Router(registry())
+    for name in ("purchase", "signup"):
+        router.on(name, lambda rows, name=name: rows.agg(F.lit(name).alias("event_type"), F.count(F.lit(1)).alias("events"), F.sum("k").alias("k")).write.mode("append").parquet(path))
+    Subscriptions(store).run("router", router, types=router.stream_filter())
+    return spark.read.parquet(path)
+
+
+@query("SELECT CASE WHEN version <= 25 THEN 0 ELSE 1 END AS batch, event_type, count(*) AS events FROM l GROUP BY 1, 2")
+def drained_spool(spark: SparkSession, d: str) -> DataFrame:
+    """Batches left as files by a subscription, handled by another program and deleted."""
+    from tidelog.streaming.subscribe import Subscriptions, drain_spool, spooled
+
+    store, parts = _halves(spark, d)
+    for part in parts:
+        store.append_all(part, ["__order"])
+    path, out = scratch_path(spark, "spool"), scratch_path(spark, "drained")
+    Subscriptions(store).run("spool", spooled(path), commits_per_batch=1)
+    drain_spool(spark, path, lambda rows, batch: rows.select(F.lit(batch).alias("batch"), "event_type").write.mode("append").parquet(out))
+    return spark.read.parquet(out).groupBy("batch", "event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("SELECT stream_id, version, event_type FROM l WHERE event_type = 'error' AND global_version > 100")
+def log_source(spark: SparkSession, d: str) -> DataFrame:
+    """The log as a source of a stream, with filters that reach its files."""
+    from tidelog.streaming.source import register
+
+    register(spark)
+    store, parts = _halves(spark, d)
+    store.restore(parts[0].unionByName(parts[1]))
+    sink = scratch_path(spark, "sink")
+    rows = spark.readStream.format("tidelog").option("path", store.path).option("types", "error").option("after", "100").load()
+    stream = rows.select("stream_id", "version", "event_type").writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "checkpoint")).option("path", sink).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.schema("stream_id string, version long, event_type string").parquet(sink)
+
+
+@query(
+    """SELECT * FROM (VALUES ('any', 'new', 'written'), ('no_stream', 'new', 'written'), ('stream_exists', 'new', 'StreamNotFound'), ('revision 2', 'new', 'RevisionConflict'), ('unknown', 'new', 'InvalidRevision'),
+('any', 'old', 'written'), ('no_stream', 'old', 'StreamAlreadyExists'), ('stream_exists', 'old', 'written'), ('revision 2', 'old', 'written'), ('unknown', 'old', 'InvalidRevision')) t(expected, stream, outcome)""",
+    log=False,
+)
+def append_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What an append to a stream with two events, or with none, gives for each expectation."""
+    from tidelog.envelope import ANY, NO_STREAM, StreamState
+    from tidelog.errors import LogError
+    from tidelog.plans.commit import MemoryStore
+
+    states, out = {"any": ANY, "no_stream": NO_STREAM, "stream_exists": STREAM_EXISTS, "revision 2": Revision(2), "unknown": StreamState(-9)}, []
+    for name, state in states.items():
+        store = MemoryStore(spark)
+        store.append([{"stream_id": "old", "event_type": "E"}] * 2)
+        for stream in ("new", "old"):
+            try:
+                store.append([{"stream_id": stream, "event_type": "E"}], state)
+                out.append((name, stream, "written"))
+            except LogError as e:
+                out.append((name, stream, type(e).__name__))
+    return spark.createDataFrame(out, "expected string, stream string, outcome string")
