@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.batches import bounded_batches
 from tidelog.llm.components import components
 from tidelog.llm.words import Hasher, Windows, Words, chunks, fold_ascii, mix
-from tidelog.plans.scratch import keep
+from tidelog.plans.scratch import drop, keep
 from tidelog.plans.skew import spread_join
 
 WIDTH = 5
@@ -205,6 +205,8 @@ def class_links(buckets: DataFrame, sets: DataFrame, rounds: int = 2) -> DataFra
         found = keep(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(confirmed, "u long, v long").distinct(), "links")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         comps = _merged(comps, found)
+        drop(centres)
+        drop(found)
     # What is left: buckets of several components. Equal buckets (of other bands) are compared once.
     members = _with_component(buckets, comps)
     every = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), rows, F.expr("bit_xor(xxhash64(cid))").alias("same")).where("lo < hi")
@@ -228,6 +230,11 @@ def class_links(buckets: DataFrame, sets: DataFrame, rounds: int = 2) -> DataFra
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs. doc_id is cast to long."""
+    return _near_duplicates(docs, doc_id, text)[0]
+
+
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows, and the kept tables that they are read from; all others are deleted."""
     bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("fp", F.xxhash64("text"))
     prints = keep(slim.mapInArrow(fingerprints, "doc_id long, fp long, n_shingles long, set1 long, set2 long, signature binary"), "prints")
@@ -237,26 +244,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     reps = keep(own.join(classes.select(F.col("cid").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").select(F.col("doc_id").alias("cid"), "fp", "signature").dropDuplicates(["cid", "fp"]), "reps")
     bands = keep(reps.select("cid", "signature").mapInArrow(banded, "cid long, key long"), "bands")
     shared = bands.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-    buckets = keep(spread_join(bands, keep(shared, "shared"), ["key"], "n", F.col("cid")).select("key", "cid").distinct(), "buckets")
+    shared = keep(shared, "shared")
+    buckets = keep(spread_join(bands, shared, ["key"], "n", F.col("cid")).select("key", "cid").distinct(), "buckets")
     candidates = reps.join(buckets.select("cid").distinct(), "cid", "left_semi").withColumnRenamed("cid", "doc_id")
     texts = slim.join(candidates, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select(F.col("doc_id").alias("cid"), "signature", "text")
     sets = keep(texts.mapInArrow(shingled, "cid long, n_shingles long, signature binary, shingles binary"), "sets")
     comps = class_links(buckets, sets)
+    for done in (reps, bands, shared, buckets, sets):
+        drop(done)
     joined = spread_join(prints.select("doc_id", *of_set, "fp"), classes.drop("fp"), of_set, "n", F.struct("doc_id", "fp"), "left").drop("fp")
     if comps is not None:
         joined = joined.join(comps, F.col("cid") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "cid", "doc_id"))
     else:
         joined = joined.withColumn("component_id", F.coalesce("cid", "doc_id"))
     shown = F.when(F.col("doc_id").isNull(), None).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", shown.alias("component_id"), F.coalesce(F.col("doc_id") == shown, F.lit(True)).alias("kept"))
+    out = joined.select("doc_id", "n_shingles", shown.alias("component_id"), F.coalesce(F.col("doc_id") == shown, F.lit(True)).alias("kept"))
+    return out, [prints, classes]
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but the smallest id of each group; one row of each id that has one (of the text of the smallest hash). Rows
     without an id stay. Columns are those of docs."""
     known = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
-    kept = near_duplicates(known, doc_id, text).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    found, tables = _near_duplicates(known, doc_id, text)
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     narrow = known.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("__id"), F.struct(F.xxhash64(text).alias("fp"), F.col("__row").alias("row")).alias("r"))
     chosen = narrow.join(kept, "__id", "left_semi").groupBy("__id").agg(F.min("r").alias("r")).select(F.col("r.row").alias("__row"))
     chosen = keep(chosen.unionByName(known.where(F.col(doc_id).isNull()).select("__row")), "chosen")
+    for done in tables:
+        drop(done)
     return known.join(chosen, "__row", "left_semi").select(*docs.columns)

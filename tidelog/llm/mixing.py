@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.batches import bounded_batches
 from tidelog.plans.ranks import blocks_for, global_rank, rank_within
-from tidelog.plans.scratch import keep
+from tidelog.plans.scratch import drop, keep
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -72,10 +72,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epoch
 class Mix:
     """documents: doc_id, source, size, source_size, target, taken, first_slot (null: not taken), one row for each row of the input;
     schedule: slot, source_rank, rank; fragments: what each slot holds, as word ranges of documents; copies: row, epoch, words
-    and slot of each time a document is taken."""
+    and slot of each time a document is taken; lines: the documents in the order of their sources."""
 
-    def __init__(self, documents: DataFrame, schedule: DataFrame, fragments: DataFrame, copies: DataFrame, block_words: int) -> None:
-        self.documents, self.schedule, self.fragments, self.copies, self.block_words = documents, schedule, fragments, copies, block_words
+    def __init__(self, documents: DataFrame, schedule: DataFrame, fragments: DataFrame, copies: DataFrame, lines: DataFrame, block_words: int) -> None:
+        self.documents, self.schedule, self.fragments, self.copies, self.lines, self.block_words = documents, schedule, fragments, copies, lines, block_words
 
 
 def first_multiple(a: int, m: int, low: int, high: int) -> int | None:
@@ -168,6 +168,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     # laid out once for each epoch that the target reaches and cut at block borders.
     b = block_words
     most = F.floor("target").cast("long")
+    drop(sized)
     laid = (
         lines.where("size > 0")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
@@ -186,7 +187,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     copies = keep(fragments.groupBy("row", "epoch").agg(words.alias("words"), F.min("slot").alias("slot")), "copies")
     taken = copies.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     documents = lines.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
-    return Mix(documents, schedule, fragments, copies, b)
+    return Mix(documents, schedule, fragments, copies, lines, b)
 
 
 def _leading_words(batches, text: str):  # noqa: ANN001, ANN202
@@ -205,9 +206,12 @@ def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
     bounded_batches(docs.sparkSession)
     columns = docs.columns
     known = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
-    sized = with_size(known.select("__row", "text"), name="__size").select("__row", "__size")
-    of = mix(known, row="__row", **options).copies.withColumnRenamed("row", "__row").join(sized, "__row")
-    of = keep(of.select("__row", F.col("slot").alias("__slot"), F.when(F.col("words") < F.col("__size"), F.col("words")).otherwise(F.lit(0)).alias("__first")), "taken")
+    mixed = mix(known, row="__row", **options)
+    of = mixed.copies.join(mixed.lines.select("row", "size"), "row")
+    cut = F.when(F.col("words") < F.col("size"), F.col("words")).otherwise(F.lit(0))
+    of = keep(of.select(F.col("row").alias("__row"), F.col("slot").alias("__slot"), cut.alias("__first")), "taken")
+    for done in (mixed.schedule, mixed.fragments, mixed.copies, mixed.lines):
+        drop(done)
     joined = known.join(of, "__row").orderBy("__slot", "__row").select(*columns, "__first")
     out = joined.mapInArrow(lambda batches: _leading_words(batches, "text"), joined.schema).select(*columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
