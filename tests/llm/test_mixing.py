@@ -142,3 +142,53 @@ def test_null_and_repeated_ids(make):
     taken = sum(r["taken"] for r in mixed)
     assert len(mixed) == 80 and 0 <= sum(r["size"] for r in mixed) - taken < 2  # less than a word a source
     assert sum(len(r["text"].split()) for r in mix_documents(make(rows), block_words=16).collect()) == taken
+
+
+def test_texts_are_shuffled_once(spark, make):
+    """However large the table: without broadcasts that small tables get, too, but for the bounded one of ranges."""
+    import re
+
+    rows = [(i, " ".join(f"w{i}.{k}" for k in range(5 + i % 30)), "en", "abc"[min(i % 12, 2)]) for i in range(240)]
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        out = mix_documents(make(rows), block_words=16)
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+        shuffles = re.findall(r"\) Exchange\s*\nInput \[\d+\]: (.*)", plan)
+        assert sum("text#" in x for x in shuffles) == 1
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_every_place_gets_its_text_in_order(spark, make, monkeypatch):
+    """Against a plain join and sort, with several epochs, cuts, long texts, rows that share all, and both ways to the parts."""
+    import tidelog.llm.mixing as module
+    from tidelog.plans.scratch import keep
+
+    rows = [(i, " ".join(f"w{i}.{k}" for k in range(1 + i * i % 90)), "en", [None, "b", "c", "d"][min(i % 40, 3)]) for i in range(150)]
+    rows += [(300, "same text for all of these", "en", "b")] * 9 + [(200, " ".join(f"x{k}" for k in range(3000)), "en", "c"), (201, None, "en", "b"), (202, " \n", "en", "c")]
+    kept = {}
+    monkeypatch.setattr(module, "keep", lambda df, label: kept.__setitem__(label, keep(df, label)) or kept[label])
+    for most in (module.ROUTES, 0):
+        monkeypatch.setattr(module, "ROUTES", most)
+        table = make(rows)
+        got = [(r["doc_id"], r["text"]) for r in mix_documents(table, block_words=16).collect()]
+        mixed = mix(table, block_words=16)
+        of = mixed.copies.join(mixed.lines.select("row", "doc_id", "size"), "row").collect()
+        texts = {i: t for i, t, _, _ in rows}
+        wanted = {}
+        for r in of:
+            wanted.setdefault(r["slot"], []).append((r["doc_id"], " ".join(texts[r["doc_id"]].split()[: r["words"]])))
+        at = 0
+        for slot in sorted(wanted):  # those of one slot come in any order that is the same in each run
+            n = len(wanted[slot])
+            assert sorted(got[at : at + n]) == sorted(wanted[slot])
+            at += n
+        assert at == len(got) and {r["epoch"] for r in of} == {0, 1, 2} and any(r["words"] < r["size"] for r in of)
+    by = defaultdict(list)
+    for r in kept["route"].collect():
+        by[r["__source"], r["epoch"]].append((r["__lo"], r["__hi"]))
+    assert max(map(len, by.values())) > 1
+    for ranges in map(sorted, by.values()):  # so a text is sent to one part for each epoch, but at borders
+        assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.batches import bounded_batches
@@ -36,6 +36,10 @@ WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 #: Words of a block.
 BLOCK_WORDS = 2048
+#: Ranges of lines (sources x parts of the schedule) up to which texts find their parts by a broadcast; of more, Spark's own size check decides.
+ROUTES = 200_000
+#: Bits of a place in a line, for such ranges.
+LINE_BITS = 31
 #: The golden ratio's fraction in 64-bit integers: point k is k * GOLDEN modulo 2**64, of which the upper BITS are used.
 GOLDEN, BITS = 0x9E3779B97F4A7C15, 62
 
@@ -69,6 +73,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epoch
     return table.withColumn("target", F.least("most", F.col("weight") * F.lit(level))).select("source", "source_size", F.col("rank").alias("source_rank"), "weight", "target")
 
 
+def line_order(seed: int, doc_id: Column, size: Column, fp: Column) -> Column:
+    """The hash by which a source's line is shuffled: documents are laid out by it modulo the number of blocks, then by it."""
+    return F.xxhash64(F.lit(seed), doc_id, size, fp)
+
+
+def line_place(shuffled: Column, blocks: int) -> Column:
+    """That order in an int of LINE_BITS bits, block above hash; neighbours may share one."""
+    of_hash = LINE_BITS - blocks.bit_length()
+    return (F.shiftleft(F.pmod(shuffled, F.lit(blocks)), of_hash) + F.shiftright(shuffled, 64 - of_hash) + (1 << (of_hash - 1))).cast("int")
+
+
 class Mix:
     """documents: doc_id, source, size, source_size, target, taken, first_slot (null: not taken), one row for each row of the input;
     schedule: slot, source_rank, rank; fragments: what each slot holds, as word ranges of documents; copies: row, epoch, words
@@ -146,12 +161,14 @@ def schedule_slots(spark: SparkSession, sources: DataFrame, n_sources: int, tota
     return main.unionByName(short.mapInPandas(further, "slot long, source_rank long, rank long"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None, golden: int = GOLDEN) -> Mix:
-    """``row``: a column that tells rows apart, to find them again by ``copies``; one is made if there is none."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None, size: str | None = None, golden: int = GOLDEN) -> Mix:
+    """``row``: a column that tells rows apart, to find them again by ``copies``; one is made if there is none. ``size``: a column with the
+    sizes, if they are known."""
     spark: SparkSession = docs.sparkSession
     own = F.monotonically_increasing_id() if row is None else F.col(row)
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"), own.alias("row"))
-    sized = keep(with_size(slim.withColumn("fp", F.xxhash64("text"))).drop("text"), "sizes")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"), own.alias("row"), *([] if size is None else [F.col(size).alias("size")]))
+    slim = slim.withColumn("fp", F.xxhash64("text"))
+    sized = keep((with_size(slim) if size is None else slim).drop("text"), "sizes")
     rows = sized.count()
     sources = keep(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs), "targets")
     total, n_sources = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
@@ -160,7 +177,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     # Lines: the documents of a source in shuffled order, laid end to end.
     known = sources.withColumnRenamed("source", "__source")
     placed = sized.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "weight")
-    shuffled = F.xxhash64(F.lit(seed), "doc_id", "size", "fp")
+    shuffled = line_order(seed, F.col("doc_id"), F.col("size"), F.col("fp"))
     order = [shuffled, F.col("doc_id"), F.col("size"), F.col("fp")]
     lines = keep(rank_within(placed, ["source_rank"], order, blocks_for(rows), shuffled, "line_start", weight="size"), "lines")
 
@@ -199,19 +216,60 @@ def _leading_words(batches, text: str):  # noqa: ANN001, ANN202
         yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's text, followed by its places (rows with a __slot), to the row as often as it has places. A batch that is returned has a row once."""
+    last = None
+    for batch in batches:
+        batch = batch if last is None else pa.concat_batches([last, batch])
+        place = batch.column("__slot").is_valid().to_numpy(zero_copy_only=False)
+        owner = np.maximum.accumulate(np.where(place, 0, np.arange(len(place))))
+        row, at = batch.column("__row").to_numpy(), np.flatnonzero(place)
+        if not np.array_equal(row[owner[at]], row[at]) or place[owner[at]].any():
+            raise ValueError("a place in the mix without its text")
+        nth = at - owner[at]
+        for k in np.unique(nth):
+            own = at[nth == k]
+            text, there = batch.take(pa.array(owner[own])), batch.take(pa.array(own))
+            for name in ("__slot", "__first"):
+                text = text.set_column(i := batch.schema.get_field_index(name), batch.schema.field(i), there.column(name))
+            yield text
+        last = batch.slice(owner[-1], 1) if len(place) else last
+
+
 def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
     """docs as the mix takes them, in the order of the schedule: each as often as it is taken whole, and the one of a source that the
     target cuts once more, up to the cut. Documents without words are not taken. Columns are those of docs.
+
+    Texts are shuffled once. The schedule is cut into parts of equal numbers of places; as a source's documents come in the order of their line, those of a
+    source, epoch and part are a range of the line, and a text is sent to the parts whose ranges hold it. There it meets its places.
     """
     bounded_batches(docs.sparkSession)
     columns = docs.columns
-    known = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
-    mixed = mix(known, row="__row", **options)
-    of = mixed.copies.join(mixed.lines.select("row", "size"), "row")
+    doc_id, text, source, seed = (options.get(k, v) for k, v in (("doc_id", "doc_id"), ("text", "text"), ("source", "source"), ("seed", 0)))
+    known = with_size(docs.withColumn("__row", F.monotonically_increasing_id()), text, "__size")
+    known = keep(known, "rows")  # written, so that a row keeps its number
+    mixed = mix(known, row="__row", size="__size", **options)
+    blocks = blocks_for(mixed.lines.count())
+    line = line_place(line_order(seed, F.col("doc_id"), F.col("size"), F.col("fp")), blocks)
+    of = mixed.copies.join(mixed.lines.select("row", "source", "size", line.alias("line")), "row")
     cut = F.when(F.col("words") < F.col("size"), F.col("words")).otherwise(F.lit(0))
-    of = keep(of.select(F.col("row").alias("__row"), F.col("slot").alias("__slot"), cut.alias("__first")), "taken")
+    of = of.select(F.col("row").alias("__row"), F.col("slot").alias("__slot"), cut.alias("__first"), "source", "epoch", "line")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = keep(of.repartitionByRange(parts, "__slot", "__row").withColumn("__part", F.spark_partition_id()), "taken")
+    route = of.groupBy("source", "epoch", "__part").agg(F.min("line").alias("__lo"), F.max("line").alias("__hi"))
+    route = keep(route.select(F.col("source").alias("__source"), "epoch", "__part", "__lo", "__hi"), "route")
     for done in (mixed.schedule, mixed.fragments, mixed.copies, mixed.lines):
         drop(done)
-    joined = known.join(of, "__row").orderBy("__slot", "__row").select(*columns, "__first")
-    out = joined.mapInArrow(lambda batches: _leading_words(batches, "text"), joined.schema).select(*columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    cell = lambda c: F.shiftright(c, LINE_BITS - min(16, parts.bit_length()))  # noqa: E731  so that a text is held against few ranges
+    ranges = route.drop("epoch").withColumn("__cell", F.explode(F.sequence(cell(F.col("__lo")), cell(F.col("__hi")))))
+    if route.count() <= ROUTES:
+        ranges = F.broadcast(ranges)
+    own = line_order(seed, F.col(doc_id), F.col("__size"), F.xxhash64(F.col(text).cast("string")))
+    texts = known.where("__size > 0").withColumn("__line", line_place(own, blocks)).withColumn("__at", cell(F.col("__line")))
+    here = F.col(source).cast("string").eqNullSafe(F.col("__source")) & (F.col("__at") == F.col("__cell")) & F.col("__line").between(F.col("__lo"), F.col("__hi"))
+    texts = texts.join(ranges, here).select(*columns, "__row", "__part", F.lit(None).cast("long").alias("__slot"), F.lit(None).cast("long").alias("__first"))
+    met = texts.unionByName(of.select("__row", "__part", "__slot", "__first"), allowMissingColumns=True)
+    met = met.repartitionById(parts, "__part").drop("__part").sortWithinPartitions("__row", F.col("__slot").asc_nulls_first())
+    laid = met.mapInArrow(lambda batches: _leading_words(_placed(batches), text), met.schema)
+    out = laid.sortWithinPartitions("__slot", "__row").select(*columns)
+    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
