@@ -105,3 +105,35 @@ def test_repeated_and_null_ids(make):
 def test_texts_of_two_words(make, regular):
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(make(regular)).collect()}
     assert found == brute(regular)
+
+
+def test_only_candidates_are_shuffled_with_their_texts_and_read_tables_alone_are_left(spark, make, monkeypatch):
+    """Before sets are compared: of the tables so far those that are still read, and the texts sent to the join are few."""
+    import os
+    import re
+
+    import tidelog.llm.minhash as module
+
+    rows = [(i, " ".join(f"w{i}.{k}" for k in range(30)), "en", "s") for i in range(400)]
+    rows += [(1000 + i, " ".join(["x", "y"][k == i] + str(k) for k in range(90)), "en", "s") for i in range(2)]
+    paths, sent, left = {}, [], []
+    keep, links, real = module.keep, module.class_links, module.sifted
+
+    def kept(df, label):
+        paths[label] = (out := keep(df, label))._tidelog_path
+        return out
+
+    def sifting(slim, *args):
+        sent.append((out := real(slim, *args)).count())
+        return out
+
+    def linking(*args):
+        left.extend(k for k, p in paths.items() if os.path.exists(re.sub("^file:/*", "/", p)))
+        return links(*args)
+
+    monkeypatch.setattr(module, "keep", kept)
+    monkeypatch.setattr(module, "sifted", sifting)
+    monkeypatch.setattr(module, "class_links", linking)
+    out = {r["doc_id"]: r["component_id"] for r in module.near_duplicates(make(rows)).collect()}
+    assert out[1001] == 1000 and all(out[i] == i for i in range(400))
+    assert sorted(left) == ["buckets", "classes", "prints", "sets"] and 2 <= sent[0] < 40

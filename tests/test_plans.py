@@ -81,3 +81,18 @@ def test_a_cluster_needs_a_shared_folder():
     unset = SimpleNamespace(get=lambda *_: None)
     with pytest.raises(ValueError, match="share"):
         shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://x:7077")))
+
+
+def test_a_sketch_loses_no_row_and_lets_few_others_through(spark, monkeypatch):
+    import tidelog.plans.sketch as sketch
+
+    rows = spark.range(40_000).select(F.col("id").alias("a"), F.when(F.col("id") % 50 > 0, F.col("id") * 7).alias("b"), F.lit("wide").alias("t"))
+    keyed = rows.where("a % 8 = 0 and b is not null").select("a", "b")
+    for most, others in ((sketch.MOST_BITS, 0.1), (sketch.ROW, 0.2)):  # a full sketch lets more through
+        monkeypatch.setattr(sketch, "MOST_BITS", most)
+        found = sketch.sifted(rows, keyed, ["a", "b"], keyed.count())
+        assert found.columns == rows.columns
+        got = [(r["a"], r["b"]) for r in found.collect()]
+        wanted = {(r["a"], r["b"]) for r in keyed.collect()}
+        assert len(got) == len(set(got)) and wanted <= set(got) and len(got) - len(wanted) < others * 35_000
+    assert sketch.sifted(rows, keyed.limit(0), ["a", "b"], 0).count() == 0 and sketch.sifted(rows.limit(0), keyed, ["a", "b"], 9).count() == 0

@@ -3,7 +3,8 @@
 1. One pass hashes the 5-word shingles of each text; 128 universal hashes (multiply, add, modulo 2**64) give a signature,
    cut into 32 bands of 4. Documents with one shingle set form a class, represented by its smallest id.
 2. Classes meet in the buckets of their bands. Two sets with similarity 0.75 miss each other with probability
-   (1 - 0.75**4)**32 = 5e-6. A second pass keeps the sorted shingles of the classes that share a bucket, once each.
+   (1 - 0.75**4)**32 = 5e-6. A second pass keeps the sorted shingles of the classes that share a bucket, once each; a sketch of these
+   keeps most other texts out of its shuffle.
 3. Only components are asked for, so pairs that are connected already need no test. Rounds of stars test each member
    of a bucket against one centre, first by signature, then on the full sets; confirmed links give components, on the components
    of the rounds before alone.
@@ -32,6 +33,7 @@ from tidelog.llm.batches import bounded_batches
 from tidelog.llm.components import components
 from tidelog.llm.words import Hasher, Windows, Words, chunks, fold_ascii, mix
 from tidelog.plans.scratch import drop, keep
+from tidelog.plans.sketch import sifted
 from tidelog.plans.skew import spread_join
 
 WIDTH = 5
@@ -216,10 +218,10 @@ def class_links(buckets: DataFrame, sets: DataFrame, rounds: int = 2) -> DataFra
     sizes = sets.groupBy("cid").agg(F.max("n_shingles").alias("n_shingles"))
     open_ = keep(spread_join(members, mixed, ["key"], "n", F.col("cid")).join(sizes, "cid"), "mixed")
     by = open_.groupBy("key", "comp").agg(rows, F.sum("n_shingles").alias("s"))
-    bucket = by.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    bucket = by.groupBy("key").agg(F.max(F.struct("n", "comp", "s")).alias("t"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > t.n")
     need = lambda n, s: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK_MEMBERS)), F.ceil(s / F.lit(BLOCK_SHINGLES))).cast("int")
-    rest = by.join(bucket.select("key", "top"), "key").where("comp != top").groupBy("key").agg(need(F.sum("n"), F.sum("s")).alias("na"))
-    shape = keep(bucket.select("key", "top", "n", need(F.col("n"), F.col("s")).alias("nb")).join(rest, "key"), "shapes")
+    rest = need(F.col("n") - F.col("t.n"), F.col("s") - F.col("t.s"))
+    shape = keep(bucket.select("key", F.col("t.comp").alias("top"), "n", need(F.col("n"), F.col("s")).alias("nb"), rest.alias("na")), "shapes")
     dealt = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")
     shaped = spread_join(open_, shape, ["key"], "n", F.col("cid"))
     a = shaped.where("comp != top").select("key", dealt("na", 1).alias("i"), F.explode(F.expr("sequence(0, nb - 1)")).alias("j"), F.lit("a").alias("side"), "cid", "comp")
@@ -246,11 +248,15 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame
     shared = bands.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
     shared = keep(shared, "shared")
     buckets = keep(spread_join(bands, shared, ["key"], "n", F.col("cid")).select("key", "cid").distinct(), "buckets")
-    candidates = reps.join(buckets.select("cid").distinct(), "cid", "left_semi").withColumnRenamed("cid", "doc_id")
-    texts = slim.join(candidates, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select(F.col("doc_id").alias("cid"), "signature", "text")
+    candidates = keep(reps.join(buckets.select("cid").distinct(), "cid", "left_semi").withColumnRenamed("cid", "doc_id"), "candidates")
+    for done in (reps, bands, shared):
+        drop(done)
+    found = sifted(slim, candidates, ["doc_id", "fp"], candidates.count())  # other texts are not shuffled
+    texts = found.join(candidates, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select(F.col("doc_id").alias("cid"), "signature", "text")
     sets = keep(texts.mapInArrow(shingled, "cid long, n_shingles long, signature binary, shingles binary"), "sets")
+    drop(candidates)
     comps = class_links(buckets, sets)
-    for done in (reps, bands, shared, buckets, sets):
+    for done in (buckets, sets):
         drop(done)
     joined = spread_join(prints.select("doc_id", *of_set, "fp"), classes.drop("fp"), of_set, "n", F.struct("doc_id", "fp"), "left").drop("fp")
     if comps is not None:
